@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import components, cooccur, packing, splits, survivor, tokens
+from folioforge.llm import components, cooccur, packing, pii, splits, survivor, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,17 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_t(spark, sf, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(_t(spark, sf, "documents"), _t(spark, sf, "known_names")).select("doc_id", "kind", "start_at")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    return pii.redact(docs, pii.find(docs, _t(spark, sf, "known_names")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_lift, p3_found, p4_found, p4_split, p6_found, p6_survivors, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p1_lift, p3_found, p4_found, p4_split, p6_found, p6_survivors, p7_ids, p8_containers, p9_found, p9_redacted)}
 
 
 _READERS = "select distinct user_id as u, work_id as w from ratings where user_id is not null and work_id is not null"
