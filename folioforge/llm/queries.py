@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import components, cooccur, packing, pii, splits, survivor, tokens
+from folioforge.llm import components, cooccur, linkage, packing, pii, splits, survivor, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,14 @@ def p1_lift(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("work_a"), F.col("item_b").alias("work_b"), "n_both", F.round("lift", 6).alias("lift"))
 
 
+def p2_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.match(*(_t(spark, sf, n) for n in ("az_meta", "works", "editions", "authors")))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_confidence(spark, sf).select("parent_asin", "work_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = components.chain_components(_t(spark, sf, "work_merges"), "shadow_work_id", "main_work_id")
     return groups.select(F.col("v").alias("work_id"), "group_id")
@@ -68,7 +76,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_lift, p3_found, p4_found, p4_split, p6_found, p6_survivors, p7_ids, p8_containers, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_confidence, p3_found, p4_found, p4_split, p6_found, p6_survivors, p7_ids, p8_containers, p9_found, p9_redacted)}
 
 
 _READERS = "select distinct user_id as u, work_id as w from ratings where user_id is not null and work_id is not null"
