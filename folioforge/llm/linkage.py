@@ -156,7 +156,7 @@ def isbn13(raw: Column) -> Column:
         return F.when((F.pmod(weighted(x, 13), F.lit(10)) == 0) & ~F.substring(x, 4, 9).rlike(r"^(\d)\1*$"), x)
 
     # Lambda variables hold each step's value, so that no expression is repeated.
-    return F.transform(F.transform(F.filter(F.array(bare), lambda s: F.length(s).isin(10, 13)), of), sound)[0]
+    return F.get(F.transform(F.transform(F.filter(F.array(bare), lambda s: F.length(s).isin(10, 13)), of), sound), F.lit(0))
 
 
 def _near(a: Column, b: Column) -> Column:
