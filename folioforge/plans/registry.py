@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import skew_queries
+from folioforge.plans import clean_queries, skew_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (skew_queries,)
+MODULES = (skew_queries, clean_queries)
 
 
 def queries() -> dict[str, Query]:
