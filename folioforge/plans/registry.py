@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import clean_queries, skew_queries
+from folioforge.plans import clean_queries, link_queries, profile_queries, skew_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (skew_queries, clean_queries)
+MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries)
 
 
 def queries() -> dict[str, Query]:
