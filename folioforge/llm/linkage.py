@@ -19,6 +19,7 @@ variable with a weight. The value reached is the confidence.
 from __future__ import annotations
 
 import html
+import re as plain_re
 import unicodedata
 from collections.abc import Iterator
 
@@ -52,14 +53,28 @@ TAGGED = re.compile(rf"^(.{{4,}}?) ?(?:[:(\[-]|\s-) ?([^:(\[]*\b{SERIES})[ ,]*(?
 def plain(text: str | None) -> str:
     """Lower case without accents, entities, quotes around and doubled blanks."""
     t = text or ""
-    for _ in range(3):
-        new = html.unescape(t)
-        if new == t:
-            break
+    while "&" in t and (new := html.unescape(t.replace("&QUOT;", "&quot;"))) != t:
         t = new
-    t = t.lower().replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"').replace("&quot;", '"')
-    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) or c == "̆")
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", t)).strip(" \t\"'")
+    t = t.lower()
+    if not t.isascii():
+        t = t.replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"')
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) or c == "\u0306")
+        t = unicodedata.normalize("NFC", t)
+    return " ".join(t.split()).strip(" \t\"'")
+
+
+_SIMPLE = plain_re.compile(r"[^\W\d_]+(?:['’]s)?(?: [^\W\d_]+(?:['’]s)?)*")
+_MARKED = plain_re.compile(rf"\b(?:summary|analysis|guide|review|notes|workbook|companion|starters|book|sheet|calendar|set|collection|omnibus|bundle|complete|edition|{SERIES[3:-1]})\b")
+_EDITED = plain_re.compile(EDITION)
+_NAMED = plain_re.compile(SERIES)
+_CUT = re.compile(r"\s*[\[(:-]?\s*[^\[(]{0,12}(?<=[\[(][^\[(]{0,12})(?:\.\.\.|…)$|[ :,(-]*(?:\.\.\.|…)$")
+_BRACKETED = re.compile(rf"\s*[(\[][^()\[\]]*\b{EDITION}\b[^()\[\]]*[)\]]\s*")
+_TRAILING = re.compile(rf"\s*[-:,]\s*(?:{EDITION}|{SALES})\s*$")
+_BEFORE_ARTICLE = re.compile(rf"\s*[:,-]\s*(?:{EDITION}|{SALES})\s*,\s*(the|a|an)$")
+_ARTICLE_LAST = plain_re.compile(r"^(.*), (?:the|a|an|he|te|th)$")
+_ARTICLE_FIRST = plain_re.compile(r"^(?:the|a|an|he|te|th) (?=\S)")
+_SUBTITLED = re.compile(rf"^(.{{3,}}?)\s*[:(-]\s*({GENERIC})[)\s]*$")
+_NOT_WORDS = plain_re.compile(r"[^\w' ,]|_")
 
 
 def title_form(title: str | None) -> tuple[str, str, int, int, int]:
@@ -67,33 +82,37 @@ def title_form(title: str | None) -> tuple[str, str, int, int, int]:
     writing about one, 2 a set), and 1 if the title was cut off."""
     t = plain(title)
     cut = 0
-    if re.search(r"(?:\.\.\.|…)$", t):
-        cut, t = 1, re.sub(r"\s*[\[(:-]?\s*[^\[(]{0,12}(?<=[\[(][^\[(]{0,12})(?:\.\.\.|…)$|[ :,(-]*(?:\.\.\.|…)$", "", t)
-    kind = 1 if ABOUT.search(t) else 2 if SET.search(t) else 0
-    for _ in range(3):
-        t = re.sub(rf"\s*[(\[][^()\[\]]*\b{EDITION}\b[^()\[\]]*[)\]]\s*", " ", t).strip()
-        t = re.sub(rf"\s*[-:,]\s*(?:{EDITION}|{SALES})\s*$", "", t).strip()
-        t = re.sub(rf"\s*[:,-]\s*(?:{SALES})\s*,\s*(the|a|an)$", r", \1", t)
-        t = re.sub(rf"\s*[-:]\s*{EDITION}\s*,\s*(the|a|an)$", r", \1", t)
-    t = re.sub(r"^(.*), (?:the|a|an|he|te|th)$", r"\1", t)
+    if _SIMPLE.fullmatch(t) and not _MARKED.search(t):
+        head, _, rest = t.partition(" ")
+        return (rest if rest and head in ("the", "a", "an", "he", "te", "th") else t).replace("'", ""), "", 0, 0, 0
+    if t.endswith(("...", "…")):
+        cut, t = 1, _CUT.sub("", t)
+    kind = 0 if not (_MARKED.search(t) or "-book" in t or "books " in t) else 1 if ABOUT.search(t) else 2 if SET.search(t) else 0
+    if _EDITED.search(t) or "best" in t or "fiction" in t:
+        for _ in range(3):
+            t = _BRACKETED.sub(" ", t).strip()
+            t = _TRAILING.sub("", t).strip()
+            t = _BEFORE_ARTICLE.sub(r", \1", t)
+    t = _ARTICLE_LAST.sub(r"\1", t)
     volume, subtitle = 0, ""
-    if m := PREFIXED.match(t):
+    named = _NAMED.search(t) is not None
+    if not named and t.isascii() and not any(map(str.isdigit, t)):
+        pass
+    elif named and (m := PREFIXED.match(t)):
         t = m.group(3)
     elif m := LED.match(t):
         t = m.group(1)
-    elif m := TAGGED.match(t):
+    elif named and (m := TAGGED.match(t)):
         t = m.group(1)
-    elif m := VOLUME.match(t) or NUMBERED.match(t):
+    elif m := (VOLUME.match(t) if named else None) or NUMBERED.match(t):
         volume = int(m.group(2)) if m.group(2).isdigit() else ROMAN.get(m.group(2), 0)
         t = m.group(1)
-    t = re.sub(r"^(.*), (?:the|a|an)$", r"\1", t.strip(" :,-"))
-    if m := re.match(rf"^(.{{3,}}?)\s*[:(-]\s*({GENERIC})[)\s]*$", t):
+    t = _ARTICLE_LAST.sub(r"\1", t.strip(" :,-"))
+    if m := _SUBTITLED.match(t):
         t, subtitle = m.group(1), m.group(2)
-        t = re.sub(r"^(.*), (?:the|a|an)$", r"\1", t)
-    t = t.replace("&", " and ")
-    core = re.sub(r"\s+", " ", re.sub(r"[^\p{L}\p{N}' ,]+", " ", t)).replace("'", "").strip(" ,")
-    core = re.sub(r"^(?:the|a|an|he|te|th) (?=\S)", "", core)
-    return core, subtitle, volume, kind, cut
+        t = _ARTICLE_LAST.sub(r"\1", t)
+    core = " ".join(_NOT_WORDS.sub(" ", t.replace("&", " and ")).replace("'", "").split()).strip(" ,")
+    return _ARTICLE_FIRST.sub("", core), subtitle, volume, kind, cut
 
 
 def author_form(author: str | None) -> tuple[str, str]:
