@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import clean_queries, link_queries, profile_queries, skew_queries, text_queries
+from folioforge.plans import clean_queries, link_queries, profile_queries, rank_queries, skew_queries, text_queries
+from folioforge.plans.base import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries)
+MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries, rank_queries)
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return queries()["p5_found"](spark, sf)
+    return rank_queries.flagship(Tables(spark, sf))
