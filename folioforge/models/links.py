@@ -7,14 +7,15 @@ done on the driver over the ``n_top`` most rated works, a parameter that bounds
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
+import tempfile
 
-os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-import numpy as np  # noqa: E402
-from pyspark.sql import DataFrame, Window  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from folioforge.functions.numeric import half_up  # noqa: E402
+from folioforge.functions.numeric import half_up
 
 #: Weights of one to five stars as input of the links.
 STAR_INPUT = (-2.0, -1.0, 0.0, 1.0, 2.0)
@@ -63,6 +64,17 @@ def _dense(g: DataFrame, index: dict[int, int]) -> np.ndarray:
     return m
 
 
+def inverse(m: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric positive matrix, in a process of its own with one BLAS thread: a threaded BLAS inside
+    the process that also runs the driver's JVM gateway may never return."""
+    with tempfile.TemporaryDirectory() as folder:
+        np.save(f"{folder}/m.npy", m)
+        code = "import sys, numpy as np; d = sys.argv[1]; np.save(d + '/p.npy', np.linalg.inv(np.load(d + '/m.npy')))"
+        env = os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+        subprocess.run([sys.executable, "-c", code, folder], check=True, env=env, timeout=3600)
+        return np.load(f"{folder}/p.npy")
+
+
 def _frame(spark, ids: np.ndarray, b: np.ndarray, topk: int, both: bool) -> DataFrame:
     k = min(topk, len(ids))
     keep = np.zeros(b.shape, bool)
@@ -82,7 +94,7 @@ def fit_read(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: in
     top = top_items(ratings, n_top).cache()
     ids = np.array(sorted(r["work_id"] for r in top.select("work_id").collect()), dtype=np.int64)
     x = ratings.join(F.broadcast(top.select("work_id")), "work_id").select("user_id", "work_id", F.lit(1.0).alias("x"))
-    p = np.linalg.inv(_dense(gram(x, x), {int(w): k for k, w in enumerate(ids)}) + lam * np.eye(len(ids)))
+    p = inverse(_dense(gram(x, x), {int(w): k for k, w in enumerate(ids)}) + lam * np.eye(len(ids)))
     b = -p / np.diag(p)[None, :]
     np.fill_diagonal(b, 0.0)
     return _frame(ratings.sparkSession, ids, b, topk, False)
@@ -99,8 +111,8 @@ def fit_value(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: i
     r = ratings.join(active, "user_id", "left_semi").join(F.broadcast(top.select("work_id")), "work_id")
     x = r.select("user_id", "work_id", star_weight(F.col("rating"), weights).alias("x"))
     y = r.select("user_id", "work_id", (half_up(F.col("rating")) - 3).cast("double").alias("x"))
-    p = np.linalg.inv(_dense(gram(x, x), index) + lam * np.eye(len(ids)))
-    d = p @ _dense(gram(x, y), index)
+    p = inverse(_dense(gram(x, x), index) + lam * np.eye(len(ids)))
+    d = np.einsum("ij,jk->ik", p, _dense(gram(x, y), index))
     d -= p * (np.diag(d) / np.diag(p))[None, :]
     np.fill_diagonal(d, 0.0)
     if min_support:

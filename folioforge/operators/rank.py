@@ -19,7 +19,7 @@ def top_k(scores: DataFrame, k: int, exclude: DataFrame | None = None, user: str
     if exclude is not None:
         scores = scores.join(exclude.select(user, item), [user, item], "left_anti")
     w = Window.partitionBy(user).orderBy(F.desc("score"), item)
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def z_scores(scores: DataFrame, col: str, out: str, user: str = "user_id") -> DataFrame:
@@ -55,7 +55,7 @@ def author_cap(ranked: DataFrame, top: int, user: str = "user_id") -> DataFrame:
     cap = max(1, top // 10)
     place = F.row_number().over(Window.partitionBy(user, "author_id").orderBy("rank"))
     kept = ranked.withColumn("_a", place).filter(F.col("author_id").isNull() | (F.col("_a") <= cap)).drop("_a")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy("rank"))).filter(F.col("place") <= top)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy("rank")).cast("bigint")).filter(F.col("place") <= top)
 
 
 def list_metrics(top: DataFrame, hidden: DataFrame, k: int = 20) -> DataFrame:

@@ -259,7 +259,7 @@ def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
     w = t.works.select("work_id", F.when(F.col("publication_year") >= 2015, "new").when(F.col("media_type") == "book", "book").otherwise("other").alias("section"))
     s = top_popular(inp, pop.popularity(train)).join(w, "work_id")
-    place = F.row_number().over(Window.partitionBy("user_id", "section").orderBy("rank"))
+    place = F.row_number().over(Window.partitionBy("user_id", "section").orderBy("rank")).cast("bigint")
     return s.withColumn("place", place).filter("place <= 5").select("user_id", "section", "work_id", "place")
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import clean_queries, link_queries, profile_queries, rank_queries, skew_queries, text_queries
+from folioforge.plans import clean_queries, event_queries, link_queries, profile_queries, rank_queries, skew_queries, text_queries
 from folioforge.plans.base import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries, rank_queries)
+MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries, rank_queries, event_queries)
 
 
 def queries() -> dict[str, Query]:
