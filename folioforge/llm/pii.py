@@ -89,29 +89,39 @@ LABEL = re.compile(r"^\s*(?:[-–—]\s*)?\p{Lu}[\p{Lu} .'-]{1,24}:\s+|^\s*(?:\.
 _LOOKS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "S": "5", "B": "8"})
 
 
+#: Bytes of the characters that a single-byte reading of UTF-8 shows.
+_BYTE = {chr(b): b for b in range(0x80, 0x100)} | {bytes([b]).decode("cp1252"): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_STRETCH = plain_re.compile("[" + "".join(map(plain_re.escape, _BYTE)) + "]{2,}")
+
+
 def _utf8_spans(text: str) -> tuple[str, list[int]]:
     """Text in which UTF-8 bytes shown as single-byte letters are read right, and each character's place before."""
-    raw, at, out, place = [], 0, [], []
-    for ch in text:
-        try:
-            raw.append(ch.encode("cp1252")[0])
-        except UnicodeEncodeError:
-            raw.append(ord(ch) if ord(ch) < 256 else -1)
-    n = len(raw)
-    while at < n:
-        b = raw[at]
-        k = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
-        if k and at + k <= n and all(0x80 <= x <= 0xBF for x in raw[at + 1 : at + k]):
-            try:
-                out.append(bytes(raw[at : at + k]).decode("utf-8"))
-                place.append(at)
-                at += k
-                continue
-            except UnicodeDecodeError:
-                pass
-        out.append(text[at])
-        place.append(at)
-        at += 1
+    out: list[str] = []
+    place: list[int] = []
+    done = 0
+    for m in _STRETCH.finditer(text):
+        i, j = m.span()
+        out.append(text[done:i])
+        place.extend(range(done, i))
+        raw = bytes([_BYTE[c] for c in m.group()])
+        at, n = 0, j - i
+        while at < n:
+            b = raw[at]
+            k = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
+            if k and at + k <= n:
+                try:
+                    out.append(raw[at : at + k].decode("utf-8"))
+                    place.append(i + at)
+                    at += k
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            out.append(text[i + at])
+            place.append(i + at)
+            at += 1
+        done = j
+    out.append(text[done:])
+    place.extend(range(done, len(text)))
     return "".join(out), place
 
 
@@ -134,12 +144,18 @@ def readable(text: str) -> tuple[str, list[int] | None]:
         place = back if place is None else [place[i] for i in back]
         text = new
     high = len(_HIGH.findall(text))
-    if high > 20 and high > 0.5 * sum(map(str.isalpha, text)):
+    if high > 20 and 5 * high > len(text) and high > 0.5 * sum(map(str.isalpha, text)):
         text = text.translate(_CYR)
     return text, place
 
 
-_HEAD = plain_re.compile(r"((?:(?:^|(?<=[\n\r]))\ufeff?[ \t]*\d*[ \t]*(?:\r\n|\n|\r))?[^\r\n]*->[^\r\n]*)")
+#: Stems of the words that ``ADDRESS`` asks for; a stretch without any of them holds no address.
+_STREET = (
+    "street| st|road| rd|avenue| ave|lane| ln|court| ct|close|drive| dr|square| sq|terrace| way|place| row|gardens|crescent|blvd|boulevard|str|platz|weg|gasse|allee|ufer|damm"
+    "|am |im |zum |zur |an der|auf der|rue|chemin|av.|impasse|quai|all|bd|cours|route|passage|calle|c/|plaza|pza|avenida|avda|paseo|camino|ronda"
+    "|ул|пер|пр|площ|пл.|наб|бульв|б-р|шоссе|тракт|\nst|\nrd|\nave|\nln|\nct|\ndr|\nsq|\nway|\nrow"
+).split("|")
+_SOME_DIGITS = plain_re.compile(r"\d\D{0,3}\d\D{0,3}\d")
 _AT = plain_re.compile(r"@|[(\[{] ?at ?[)\]}]|\bat\b(?=\s.{1,80}?\bdot\b)", plain_re.I | plain_re.S)
 _DIGIT = plain_re.compile(r"\d[\d\s.,()/-]*")
 _LONG_WORDS = [w for w in NUMBER_WORDS if len(w) > 3]
@@ -147,8 +163,31 @@ _LONG_WORDS = [w for w in NUMBER_WORDS if len(w) > 3]
 
 def masked(text: str) -> str:
     """The text with cue numbers and times replaced by as many mask signs."""
-    parts = _HEAD.split(text)
-    return "".join([MASK * len(p) if i & 1 else p for i, p in enumerate(parts)])
+    out: list[str] = []
+    done, arrow, returns = 0, text.find("->"), "\r" in text
+    while arrow >= 0:
+        start = text.rfind("\n", done, arrow) + 1
+        if returns:
+            start = max(start, text.rfind("\r", done, arrow) + 1)
+        start = start or done
+        stop = text.find("\n", arrow)
+        if returns and (r := text.find("\r", arrow, stop if stop >= 0 else len(text))) >= 0:
+            stop = r
+        stop = len(text) if stop < 0 else stop
+        # The line before the times, if it is only a number.
+        end = start - (2 if text[start - 2 : start] == "\r\n" else 1)
+        if end > done:
+            first = text.rfind("\n", done, end) + 1
+            if returns:
+                first = max(first, text.rfind("\r", done, end) + 1)
+            first = first or done
+            if text[first:end].strip("\ufeff \t").isdigit():
+                start = first
+        out += (text[done:start], MASK * (stop - start))
+        done = stop
+        arrow = text.find("->", stop)
+    out.append(text[done:])
+    return "".join(out)
 
 
 def _windows(marks: Iterator, before: int, after: int, n: int) -> list[tuple[int, int]]:
@@ -163,9 +202,15 @@ def _windows(marks: Iterator, before: int, after: int, n: int) -> list[tuple[int
     return out
 
 
-def _matches(pattern: re.Pattern, text: str, windows: list[tuple[int, int]]) -> Iterator:
+def _matches(pattern: re.Pattern, text: str, windows: list[tuple[int, int]], needs=None) -> Iterator:
     for i, j in windows:
-        yield from pattern.finditer(text, i, j)
+        if needs is None or needs(text[i:j]):
+            yield from pattern.finditer(text, i, j)
+
+
+def _street(part: str) -> bool:
+    low = part.lower()
+    return any(w in low for w in _STREET)
 
 
 def _context(text: str, start: int, end: int, unlabelled: bool = True) -> tuple[str, str]:
@@ -222,22 +267,22 @@ def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
         return (i, j) if place is None else (place[i], place[j] if j < len(place) else len(text))
 
     taken: list[tuple[int, int]] = []
-    for m in _matches(EMAIL, body, _windows(_AT.finditer(body), 80, 110, size)):
+    low = body.lower()
+    for m in _matches(EMAIL, body, _windows(_AT.finditer(body), 80, 110, size)) if "@" in body or "dot" in low or "at)" in low or "at]" in low else ():
         if "@" in m.group() or re.search(r"(?i)\bdot\b|[(\[{]", m.group()):
             taken.append(m.span())
             yield ("email", *at(*m.span()), "", "", "", "")
-    for m in _matches(ADDRESS, body, digits):
+    for m in _matches(ADDRESS, body, digits, _street):
         taken.append(m.span())
         yield ("address", *at(*m.span()), "", "", "", "")
 
     def free(i: int, j: int) -> bool:
         return all(j <= a or i >= b for a, b in taken)
 
-    low = body.lower()
     for m in SPOKEN.finditer(body) if any(w in low for w in _LONG_WORDS) else ():
         taken.append(m.span())
         yield ("phone", *at(*m.span()), "spoken", "", "", "")
-    for m in _matches(RUN, body, digits):
+    for m in _matches(RUN, body, digits, _SOME_DIGITS.search):
         i, j = m.span()
         raw = m.group()
         n_digits = sum(c.isdigit() for c in raw)
