@@ -378,8 +378,14 @@ def match(
         .join(titles.filter("m = 1"), ["core", "vol"]).select("pid", F.col("only").alias("book"))
     )
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, "[ ,]+"), lambda x: F.length(x) >= 5)))
+    # Products whose title and family name are those of a book need no likeness search; this also keeps a busy author's
+    # exact copies out of the word block.
+    settled = (
+        p.filter("p_core <> '' and p_family <> ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"), F.col("p_family").alias("family"), initial("p_given").alias("g"))
+        .join(books.select("core", "vol", "family", initial("given").alias("g")).distinct(), ["core", "vol", "family", "g"], "left_semi").select("pid")
+    )
     by_name = (
-        p.filter("p_family <> ''").select("pid", F.col("p_family").alias("family"), F.col("p_vol").alias("vol"), words("p_core").alias("word"))
+        p.filter("p_family <> ''").join(settled, "pid", "left_anti").select("pid", F.col("p_family").alias("family"), F.col("p_vol").alias("vol"), words("p_core").alias("word"))
         .join(books.filter("family <> ''").select("family", "vol", "book", words("core").alias("word")), ["family", "vol", "word"]).select("pid", "book")
     )
     found = scratch.put(
