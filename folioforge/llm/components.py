@@ -74,10 +74,10 @@ def _rank_chains(low: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.put(state.filter("done > 0").withColumn("fell", F.lit(False)).unionByName(moved))
         left = new.filter("done = 0").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("fell").cast("int")).alias("f")).first()
         scratch.drop(state)
-        state, moving = new.drop("fell"), left["n"]
+        before, state, moving = moving, new.drop("fell"), left["n"]
         state._scratch_path = new._scratch_path
-        if moving and not left["f"]:
-            break  # only cycles still move, and each has its least vertex on every pointer
+        if moving == before and not left["f"]:
+            break  # paths and tails end pointers in every round, so only cycles still move, each with its least vertex on every pointer
     ends = F.when(F.col("done") == 1, F.col("at"))
     ranked = state.groupBy("v").agg(F.min(ends).alias("end_a"), F.max(ends).alias("end_b"), F.min("least").alias("least"))
     out = scratch.put(ranked)

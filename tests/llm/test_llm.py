@@ -94,6 +94,23 @@ def test_components_equal_union_find(spark, solve):
         assert got == {v: g for v, g in want.items() if any(v in p and p[0] != p[1] and None not in p for p in pairs)}
 
 
+CORE4 = [(50, 51), (50, 52), (50, 53), (51, 52), (51, 53), (52, 53)]
+
+
+def path(*vs):
+    return list(zip(vs, vs[1:]))
+
+
+@pytest.mark.parametrize(
+    "pairs",
+    [path(1, 10, 11, 2)] + [CORE4 + path(50, *range(60, 60 + n - 1), 3) for n in (3, 5, 9)] + [path(1, 10, 11, 2) + path(20, 21, 22, 23, 24, 20)],
+    ids=["path4", "tail3", "tail5", "tail9", "path4_ring5"],
+)
+def test_chain_ends_are_found_when_no_least_falls(spark, pairs):
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.v: r.group_id for r in components.chain_components(df, "a", "b").collect()} == union_find(pairs)
+
+
 def test_components_of_nothing(spark):
     df = spark.createDataFrame([], "a long, b long")
     assert components.chain_components(df, "a", "b").count() == 0
