@@ -1,8 +1,9 @@
 """Matching products of one source to books of another without a common key: soft-logic linkage.
 
 Titles, authors and ISBNs of both sides are read into comparable forms. Works with the same title and author are one
-book. Candidate pairs (product, book) come from three equi-join blocks: the same ISBN, the same title with an author
-of the same initial (or no author), and the same family name with a word of the title. Each pair is a variable in
+book. Candidate pairs (product, book) come from four equi-join blocks: the same ISBN, the same title with an author
+of the same initial (or no author), the same family name with three letters in a row of the title, and the same initial
+with a family name of at most one edit or swap. Each pair is a variable in
 [0, 1] under weighted hinge-loss rules:
 
 - ISBN and title agree -> match; title and author agree -> match; title agrees, author unknown, title unambiguous -> match
@@ -183,6 +184,21 @@ def _near(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def _grams(core: Column, family: Column, volume: Column) -> Column:
+    """A row for each three letters in a row of a title without blanks, hashed with family name and volume. Titles that
+    the rules can call alike share one however their blanks stand: each edit spoils three at most."""
+    bare = F.translate(core, " ,", "")
+    places = F.sequence(F.lit(1), F.greatest(F.length(bare) - 2, F.lit(1)))
+    return F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(family, volume, F.substring(bare, i, F.lit(3))))))
+
+
+def _less_one(family: Column, given: Column, volume: Column) -> Column:
+    """A row for a family name and each form of it without one letter, hashed with initial and volume; names one edit or
+    one swap apart share one."""
+    less = F.transform(F.sequence(F.lit(1), F.length(family)), lambda i: F.concat(F.substring(family, F.lit(1), i - 1), F.substring(family, i + 1, F.length(family))))
+    return F.explode(F.transform(F.array_distinct(F.concat(F.array(family), less)), lambda x: F.xxhash64(x, F.substring(given, 1, 1), volume)))
+
+
 def evidence(pairs: DataFrame) -> DataFrame:
     """Adds title (t), author (a: -1 unknown), subtitle and volume agreement to candidate pairs."""
     whole = F.when(F.col("p_core") == F.col("core"), 1.0).otherwise(_near(F.col("p_core"), F.col("core")))
@@ -377,20 +393,24 @@ def match(
         p.filter("p_core <> '' and p_family = ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"))
         .join(titles.filter("m = 1"), ["core", "vol"]).select("pid", F.col("only").alias("book"))
     )
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, "[ ,]+"), lambda x: F.length(x) >= 5)))
     # Products whose title and family name are those of a book need no likeness search; this also keeps a busy author's
-    # exact copies out of the word block.
+    # exact copies out of the gram block.
     settled = (
         p.filter("p_core <> '' and p_family <> ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"), F.col("p_family").alias("family"), initial("p_given").alias("g"))
         .join(books.select("core", "vol", "family", initial("given").alias("g")).distinct(), ["core", "vol", "family", "g"], "left_semi").select("pid")
     )
     by_name = (
-        p.filter("p_family <> ''").join(settled, "pid", "left_anti").select("pid", F.col("p_family").alias("family"), F.col("p_vol").alias("vol"), words("p_core").alias("word"))
-        .join(books.filter("family <> ''").select("family", "vol", "book", words("core").alias("word")), ["family", "vol", "word"]).select("pid", "book")
+        p.filter("p_core <> '' and p_family <> ''").join(settled, "pid", "left_anti").select("pid", _grams(F.col("p_core"), F.col("p_family"), F.col("p_vol")).alias("gram"))
+        .join(books.filter("family <> ''").select("book", _grams(F.col("core"), F.col("family"), F.col("vol")).alias("gram")), "gram").select("pid", "book")
+    )
+    # Typos in title and family name at once.
+    by_likeness = (
+        p.filter("p_core <> '' and p_family <> ''").join(settled, "pid", "left_anti").select("pid", _less_one(F.col("p_family"), F.col("p_given"), F.col("p_vol")).alias("form"))
+        .join(books.filter("family <> ''").select("book", _less_one(F.col("family"), F.col("given"), F.col("vol")).alias("form")), "form").select("pid", "book")
     )
     found = scratch.put(
         by_code.withColumn("isbn", F.lit(True)).withColumn("alone", F.lit(False))
-        .unionByName(by_title.unionByName(by_name).withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(False)))
+        .unionByName(by_title.unionByName(by_name).unionByName(by_likeness).withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(False)))
         .unionByName(alone.withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(True)))
         .groupBy("pid", "book").agg(F.max("isbn").alias("isbn"), F.max("alone").alias("alone"))
     )

@@ -318,6 +318,17 @@ def test_matching_prefers_the_same_book(spark):
     assert got == {"P1": 1, "P2": 2, "P3": 1, "P5": 4, "P7": 5}
 
 
+def test_titles_with_typos_and_shifted_blanks_are_candidates(spark):
+    works = [(1, "Sunken Storm", 1), (2, "The Lamp of Halosmouth", 2), (3, "Yvos Anatomy", 1), (4, "Red Wolf", 3)]
+    w = spark.createDataFrame([(i, t, None, None, False, 1) for i, t, _ in works], "work_id long, title string, original_title string, best_edition_title string, is_collection boolean, gr_ratings_count long")
+    e = spark.createDataFrame([(i, [a], None, None, t) for i, t, a in works], "work_id long, author_ids array<long>, isbn13 string, isbn string, title string")
+    a = spark.createDataFrame([(1, "Tamsin Rudarhurst"), (2, "Alban Hölemvik"), (3, "Jonas Berg")], "author_id long, name string")
+    az = [("P1", "The SunkenS torm", "Tamsin Rudarhurst"), ("P2", "The Lamp of Halesmouth", "Alban Hölémvik"), ("P3", "Yvosanatomy", "Rudarhurst, Tamsin"), ("P4", "Red Wulf", "Jonas Berg"),
+          ("P5", "The Lamp of Winter", "Alban Hölemvik"), ("P6", "The SunkenS torm", "Ivo Stein"), ("P7", "Sunken Strom", "T. Rudarhusrt")]
+    p = spark.createDataFrame([(*x, None, None) for x in az], "parent_asin string, title string, author string, isbn10 string, isbn13 string")
+    assert {r.parent_asin: r.work_id for r in linkage.match(p, w, e, a).collect()} == {"P1": 1, "P2": 2, "P3": 3, "P4": 4, "P7": 1}
+
+
 def test_exclusivity_projection_and_prox():
     import numpy as np
 
