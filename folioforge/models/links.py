@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.numeric import half_up
+from folioforge.session import Scratch
 
 #: Weights of one to five stars as input of the links.
 STAR_INPUT = (-2.0, -1.0, 0.0, 1.0, 2.0)
@@ -55,35 +56,66 @@ def coread(ratings: DataFrame, least: int = 1) -> DataFrame:
     return a.join(b, "user_id").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def _dense(g: DataFrame, index: dict[int, int]) -> np.ndarray:
-    m = np.zeros((len(index), len(index)))
-    table = g.toArrow()
-    i = [index[x] for x in table.column("i").to_pylist()]
-    j = [index[x] for x in table.column("j").to_pylist()]
-    m[i, j] = table.column("g").to_numpy()
+def _dense(g: DataFrame, ids: np.ndarray, rows: int = 4_000_000) -> np.ndarray:
+    """Matrix of (i, j, g) over the sorted ids; it travels in parts of about ``rows`` rows."""
+    scratch = Scratch(g.sparkSession, "gram")
+    g = scratch.put(g)
+    parts = -(-g.count() // rows)
+    m = np.zeros((len(ids), len(ids)))
+    for k in range(parts):
+        table = g.filter(F.pmod(F.xxhash64("i", "j"), F.lit(parts)) == k).toArrow()
+        m[np.searchsorted(ids, table.column("i").to_numpy()), np.searchsorted(ids, table.column("j").to_numpy())] = table.column("g").to_numpy()
+    scratch.drop(g)
     return m
 
 
-def inverse(m: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric positive matrix, in a process of its own with one BLAS thread: a threaded BLAS inside
-    the process that also runs the driver's JVM gateway may never return."""
+def invert(a: np.ndarray, block: int = 2000) -> np.ndarray:
+    """Inverse of a symmetric positive matrix in its own place, by blocks; besides it two strips of a block are held."""
+    n = len(a)
+    for s in range(0, n, block):
+        e = min(n, s + block)
+        p = np.linalg.inv(a[s:e, s:e])
+        row = p @ a[s:e]
+        row[:, s:e] = p
+        col = a[:, s:e].copy()
+        for i in range(0, n, block):
+            if i != s:
+                a[i : i + block, s:e] = 0.0
+                a[i : i + block] -= col[i : i + block] @ row
+        a[s:e] = row
+    return a
+
+
+def _apart(what: str, *given: np.ndarray) -> np.ndarray:
+    """Value of ``what`` over the arrays 0.npy, 1.npy, .. in the folder d, in a process of its own with one BLAS thread:
+    a threaded BLAS inside the process that also runs the driver's JVM gateway may never return."""
     with tempfile.TemporaryDirectory() as folder:
-        np.save(f"{folder}/m.npy", m)
-        code = "import sys, numpy as np; d = sys.argv[1]; np.save(d + '/p.npy', np.linalg.inv(np.load(d + '/m.npy')))"
-        env = os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
-        subprocess.run([sys.executable, "-c", code, folder], check=True, env=env, timeout=3600)
-        return np.load(f"{folder}/p.npy")
+        for k, m in enumerate(given):
+            np.save(f"{folder}/{k}.npy", m)
+        code = f"import sys, numpy as np; from folioforge.models.links import invert; d = sys.argv[1]; np.save(d + '/out.npy', {what})"
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH")) if x)
+        env = os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "PYTHONPATH": path}
+        subprocess.run([sys.executable, "-c", code, folder], check=True, env=env)
+        return np.load(f"{folder}/out.npy")
+
+
+def inverse(m: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric positive matrix."""
+    return _apart("invert(np.load(d + '/0.npy'))", m)
 
 
-def _frame(spark, ids: np.ndarray, b: np.ndarray, topk: int, both: bool) -> DataFrame:
+def _frame(spark, ids: np.ndarray, b: np.ndarray, topk: int, both: bool, block: int = 1000) -> DataFrame:
     k = min(topk, len(ids))
     keep = np.zeros(b.shape, bool)
-    cols = np.argsort(-np.abs(b), axis=0, kind="stable")[:k]
-    np.put_along_axis(keep, cols, True, axis=0)
-    if both:
-        rows = np.argsort(-np.abs(b), axis=1, kind="stable")[:, :k]
-        np.put_along_axis(keep, rows, True, axis=1)
-    i, j = np.nonzero(keep & (b != 0))
+    for s in range(0, len(ids), block):
+        cols = np.argsort(-np.abs(b[:, s : s + block]), axis=0, kind="stable")[:k]
+        np.put_along_axis(keep[:, s : s + block], cols, True, axis=0)
+        if both:
+            rows = np.argsort(-np.abs(b[s : s + block]), axis=1, kind="stable")[:, :k]
+            np.put_along_axis(keep[s : s + block], rows, True, axis=1)
+    keep &= b != 0
+    i, j = np.nonzero(keep)
     import pyarrow as pa
 
     return spark.createDataFrame(pa.table({"src": ids[i], "dst": ids[j], "w": b[i, j]}))
@@ -94,7 +126,9 @@ def fit_read(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: in
     top = top_items(ratings, n_top).cache()
     ids = np.array(sorted(r["work_id"] for r in top.select("work_id").collect()), dtype=np.int64)
     x = ratings.join(F.broadcast(top.select("work_id")), "work_id").select("user_id", "work_id", F.lit(1.0).alias("x"))
-    p = inverse(_dense(gram(x, x), {int(w): k for k, w in enumerate(ids)}) + lam * np.eye(len(ids)))
+    m = _dense(gram(x, x), ids)
+    m[np.diag_indices(len(ids))] += lam
+    p = inverse(m)
     b = -p / np.diag(p)[None, :]
     np.fill_diagonal(b, 0.0)
     return _frame(ratings.sparkSession, ids, b, topk, False)
@@ -106,18 +140,20 @@ def fit_value(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: i
     weights = normalized_weights(weights)
     top = top_items(ratings, n_top).cache()
     ids = np.array(sorted(r["work_id"] for r in top.select("work_id").collect()), dtype=np.int64)
-    index = {int(w): k for k, w in enumerate(ids)}
     active = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_user).select("user_id")
     r = ratings.join(active, "user_id", "left_semi").join(F.broadcast(top.select("work_id")), "work_id")
     x = r.select("user_id", "work_id", star_weight(F.col("rating"), weights).alias("x"))
     y = r.select("user_id", "work_id", (half_up(F.col("rating")) - 3).cast("double").alias("x"))
-    p = inverse(_dense(gram(x, x), index) + lam * np.eye(len(ids)))
-    d = np.einsum("ij,jk->ik", p, _dense(gram(x, y), index))
+    m = _dense(gram(x, x), ids)
+    m[np.diag_indices(len(ids))] += lam
+    p = inverse(m)
+    m = _dense(gram(x, y), ids)
+    d = _apart("np.load(d + '/0.npy') @ np.load(d + '/1.npy')", p, m)
     d -= p * (np.diag(d) / np.diag(p))[None, :]
     np.fill_diagonal(d, 0.0)
     if min_support:
         one = r.select("user_id", "work_id", F.lit(1.0).alias("x"))
-        d[_dense(gram(one, one), index) < min_support] = 0.0
+        d[_dense(gram(one, one), ids) < min_support] = 0.0
     return _frame(ratings.sparkSession, ids, d, topk, True)
 
 

@@ -15,6 +15,10 @@ from folioforge.plans.clean_queries import CATALOG, CORE, KEY, PRIMARY, SERIES_N
 
 R = Registry()
 HELD = {"test": 0.1, "val": 0.1}
+#: Works that links are fitted over, and links kept of each (the reference's sizes).
+WIDTH, LINKS = 30_000, 100
+#: Factors and alternating rounds (the reference's).
+FACTORS, TASTE_ROUNDS, IMPLICIT_ROUNDS = 64, 10, 15
 
 
 def sql_draw(salt: int, key: str) -> str:
@@ -412,23 +416,23 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("m08_read_links")
 def _(t: Tables) -> DataFrame:
-    return links.fit_read(parts(t)[0], 50.0, 500, 50)
+    return links.fit_read(parts(t)[0], 50.0, WIDTH, LINKS)
 
 
 @R.add("m10_value_links")
 def _(t: Tables) -> DataFrame:
-    return links.fit_value(parts(t)[0], 50.0, 500, 50, min_support=3)
+    return links.fit_value(parts(t)[0], 50.0, WIDTH, LINKS, min_support=3)
 
 
 @R.add("m13_taste")
 def _(t: Tables) -> DataFrame:
-    mu, items = factors.fit_taste(parts(t)[0], 4, 0.05, 2)
+    mu, items = factors.fit_taste(parts(t)[0], FACTORS, 0.05, TASTE_ROUNDS)
     return items.select(F.col("id").alias("work_id"), (F.lit(mu) + F.col("theta")[0]).alias("usual"))
 
 
 @R.add("m05_implicit")
 def _(t: Tables) -> DataFrame:
-    return factors.fit_implicit(parts(t)[0], 4, 1.0, 0.1, 2).select(F.col("id").alias("work_id"), "theta")
+    return factors.fit_implicit(parts(t)[0], FACTORS, 1.0, 0.1, IMPLICIT_ROUNDS).select(F.col("id").alias("work_id"), "theta")
 
 
 def _inputs(inp: DataFrame) -> DataFrame:
@@ -438,8 +442,8 @@ def _inputs(inp: DataFrame) -> DataFrame:
 @R.add("m14_layers")
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
-    crowd = links.score(_inputs(inp), links.fit_value(train, 50.0, 500, 50)).join(inp, ["user_id", "work_id"], "left_anti")
-    mu, items = factors.fit_taste(train, 4, 0.05, 2)
+    crowd = links.score(_inputs(inp), links.fit_value(train, 50.0, WIDTH, LINKS)).join(inp, ["user_id", "work_id"], "left_anti")
+    mu, items = factors.fit_taste(train, FACTORS, 0.05, TASTE_ROUNDS)
     taste = factors.taste_scores(factors.fold_in_taste(inp, mu, items), mu, items, crowd.select("user_id", "work_id"))
     both = rank.z_scores(crowd.join(taste, ["user_id", "work_id"]), "score", "crowd")
     both = rank.z_scores(both.select("user_id", "work_id", "crowd", F.col("taste").alias("t")), "t", "taste")
@@ -450,8 +454,8 @@ def _(t: Tables) -> DataFrame:
 @R.add("m12_mix")
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
-    ease = links.score(_inputs(inp), links.fit_read(train, 50.0, 500, 50)).join(inp, ["user_id", "work_id"], "left_anti").withColumnRenamed("score", "e")
-    items = factors.fit_implicit(train, 4, 1.0, 0.1, 2)
+    ease = links.score(_inputs(inp), links.fit_read(train, 50.0, WIDTH, LINKS)).join(inp, ["user_id", "work_id"], "left_anti").withColumnRenamed("score", "e")
+    items = factors.fit_implicit(train, FACTORS, 1.0, 0.1, IMPLICIT_ROUNDS)
     als = factors.factor_scores(factors.fold_in_implicit(inp, items, negative_weight=0.5), items, ease.select("user_id", "work_id")).withColumnRenamed("score", "a")
     z = rank.z_scores(rank.z_scores(ease.join(als, ["user_id", "work_id"]), "e", "ze"), "a", "za")
     return rank.top_k(z.select("user_id", "work_id", (0.5 * F.col("za") + 0.5 * F.col("ze")).alias("score")), 20)
@@ -460,7 +464,7 @@ def _(t: Tables) -> DataFrame:
 @R.add("m24_reasons")
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
-    fitted = links.fit_value(train, 50.0, 500, 50)
+    fitted = links.fit_value(train, 50.0, WIDTH, LINKS)
     top = rank.top_k(links.score(_inputs(inp), fitted), 10, inp)
     return explain.reasons(explain.link_parts(_inputs(inp), fitted, top))
 

@@ -192,6 +192,22 @@ def test_links_match_closed_form(spark):
         assert np.allclose(b[keep, j], direct, atol=1e-8)
 
 
+def test_links_are_fitted_over_more_works_than_a_block(spark):
+    import inspect
+
+    import numpy as np
+
+    from folioforge.plans import rank_queries
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 23)) < 0.4).astype(float)
+    m = x.T @ x + 2 * np.eye(23)
+    assert np.allclose(links.invert(m.copy(), 5), np.linalg.inv(m))
+    g = spark.createDataFrame([(10 * i, 10 * j, float(m[i, j])) for i in range(23) for j in range(23)], "i long, j long, g double")
+    assert np.allclose(links._dense(g, 10 * np.arange(23), rows=100), m)
+    assert rank_queries.WIDTH >= 30_000 and rank_queries.LINKS >= 100 and rank_queries.FACTORS >= 64 and "500, 50" not in inspect.getsource(rank_queries)
+
+
 def test_ridge_step_matches_numpy(spark):
     import numpy as np
 
