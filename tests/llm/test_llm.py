@@ -256,6 +256,12 @@ def test_forms_are_found_and_times_are_not():
         assert not [r for r in pii.scan(bare, frozenset()) if r[0] in ("email", "address", "phone", "id_number")]
 
 
+@pytest.mark.parametrize("email", ["arlo_47{at}pochta.test", "arlo_47 ( at ) pochta.test"])
+def test_emails_in_any_brackets_are_found(email):
+    text = f"Write to {email} today"
+    assert [text[r[1] : r[2]] for r in pii.scan(text, frozenset()) if r[0] == "email"] == [email]
+
+
 def test_places_count_in_the_text_as_stored():
     clean_text = "Schön, schreib an ilse@pochta.test."
     broken = clean_text.encode("utf-8").decode("cp1252")
