@@ -201,7 +201,7 @@ def user_filter_report(ratings: DataFrame, max_sd: float = 0.2, min_n: int = 10,
     )
 
 
-def kcore(ratings: DataFrame, min_user: int, min_work: int, max_passes: int = 50) -> tuple[DataFrame, int]:
+def kcore(ratings: DataFrame, min_user: int, min_work: int) -> tuple[DataFrame, int]:
     """Rows left when users below ``min_user`` and works below ``min_work`` ratings are removed until none is.
 
     Only key counts are shuffled in a pass. The kept keys of a pass are written to the shared folder, which cuts the
@@ -210,7 +210,7 @@ def kcore(ratings: DataFrame, min_user: int, min_work: int, max_passes: int = 50
     scratch = Scratch(ratings.sparkSession, "kcore")
     now = scratch.put(ratings.select("user_id", "work_id"))
     n, passes = now.count(), 0
-    while passes < max_passes:
+    while True:  # every pass but the last removes a row
         passes += 1
         users = now.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_user).select("user_id")
         kept = now.join(users, "user_id", "left_semi")

@@ -66,6 +66,12 @@ def test_kcore_is_a_fixpoint(spark):
     assert core.count() == 9 and core.select("user_id").distinct().count() == 3
 
 
+def test_kcore_peels_long_chains_to_the_end(spark):
+    rows = [(u, w, 4.0) for u in range(106) for w in (u, u + 1)] + [(u, w, 4.0) for u in (900, 901) for w in (900, 901)]
+    core, passes = clean.kcore(ratings(spark, rows), 2, 2)
+    assert core.count() == 4 and passes > 50
+
+
 def test_monotone_users_are_dropped(spark):
     rows = [(1, w, 5.0 if w else 1.0) for w in range(10)] + [(3, w, 5.0 if w > 1 else 1.0) for w in range(10)] + [(4, w, 5.0) for w in range(9)]
     kept = clean.filter_users(ratings(spark, rows)).select("user_id").distinct().collect()
