@@ -1,25 +1,30 @@
 """Personal information inside free text: bootstrapped contextual extraction.
 
-One pass over the texts takes candidates: emails and addresses by their form, number-like runs with their shape,
-and pairs of capitalised words, the last two with the words around them. Seeds (shapes that only one kind has,
-names of the known list) then induce lexical patterns, the contexts they stand in. Spark scores the graph of
-patterns and instances in rounds: a context is trusted by the share and number of seeds in it, a shape or a name
-part is learned from trusted contexts, and trusted contexts find what no list or shape knows.
+One pass over the texts takes candidates with the words around them: emails and addresses by form, number-like runs
+with their shape, pairs of capitalised words. Seeds (forms that suggest a kind, names of the known list) induce lexical
+patterns, the contexts they stand in. Spark scores the graph of patterns and instances in rounds, always against all
+occurrences and by a lower confidence bound, so that more text never makes a weak pattern strong: a context is trusted
+by its share of seeds; a shape or a name part is learned from trusted contexts, judged by what they say without it, and
+contexts can turn over what a form suggests. Rounds end when no shape and no name part is new.
 """
 
 from __future__ import annotations
 
+import bisect
 import re as plain_re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex as re
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.session import Scratch, small_or_plain
 
+#: Known names at most; a list above is refused.
+KNOWN_LIMIT = 100_000
+
 MASK = "\x01"
 GAP = r"(?:[ \t\u00a0\u202f]+|[ \t\u00a0]*(?:\r\n|\n|\r)[ \t\u00a0]*)"  # blanks or one line break
 AT = rf"(?:{GAP}?@{GAP}?|{GAP}?[(\[{{]{GAP}?at{GAP}?[)\]}}]{GAP}?|{GAP}at{GAP})"
@@ -32,7 +37,7 @@ EN_CAPS = EN_STREET.upper()
 ADDRESS = re.compile(
     "|".join(
         (
-            rf"(?<![\w#.,-])\d{{1,5}}[ ]?[A-Za-z]?{GAP}(?:[NSEW]\.?{GAP})?(?!AND\b|LAMPS\b){CAP}{GAP}(?:{EN_STREET}|{EN_CAPS})(?!\w|{GAP}(?i:market)\b)",
+            rf"(?<![\w#.,-])[1-9]\d{{0,4}}[ ]?[A-Za-z]?{GAP}(?:[NSEW]\.?{GAP})?(?!AND\b|LAMPS\b){CAP}{GAP}(?:{EN_STREET}|{EN_CAPS})(?!\w|{GAP}(?i:market)\b)",
             rf"(?<!\w)\p{{Lu}}[\p{{L}}-]*(?i:straße|strasse|stra.?e|str\.|platz|weg|gasse|allee|ufer|damm){GAP}\d{{1,4}}(?:[ ]?[a-zA-Z])?(?!\w)",
             rf"(?<!\w)(?i:am|im|an der|auf der|zum|zur){GAP}{CAP}{GAP}\d{{1,4}}(?:[ ]?[a-z])?(?=[,.\s<]*(?:\d{{5}}|$|[.<\r\n]))",
             rf"(?<![\w#])\d{{1,4}}(?:{GAP}?(?i:bis|ter|quater))?,?{GAP}(?i:rue|place|chemin|avenue|av\.|impasse|quai|allée|all.e|boulevard|bd|cours|square|route|passage)(?!\w){GAP}(?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les){GAP}?)?[\p{{Lu}}Éé][\p{{L}}'’-]*",
@@ -45,7 +50,7 @@ ADDRESS = re.compile(
 
 DIGIT = r"[0-9OolISB|]"
 RUN = re.compile(
-    rf"(?<![\w.,:$€£@#/+-])(?:[(]?[+][ ]?)?[(]?(?:{DIGIT}|[A-Z]{{1,3}}(?=-?\d)|[A-Z]{{2}}(?= \d\d ))(?:{DIGIT}|[A-Z](?![a-z])|(?:[ .()/-]|[ ]?№[ ]?|[)]{GAP}|[ ][(]|{GAP})(?={DIGIT}|[(№A-Z])(?![A-Z]+[a-km-np-z])){{4,24}}(?![\w@]|[.,]\d|:\d)"
+    rf"(?<![\w.,:$€£@#/+-])(?:[(]?[+][ ]?)?[(]?(?:{DIGIT}|[A-Z]{{1,3}}(?=-?\d)|[A-Z]{{2}}(?=\s\d\d\s))(?:{DIGIT}|[A-Z](?![a-z])|(?:[ .()/-]|[ ]?№[ ]?|[)]{GAP}|[ ][(]|{GAP})(?={DIGIT}|[(№A-Z])(?![A-Z]+[a-km-np-z])){{4,}}(?![\w@]|[.,]\d|:\d)"
 )
 SHAPES_PHONE = re.compile(
     "|".join(
@@ -54,7 +59,7 @@ SHAPES_PHONE = re.compile(
             r"(?:1[ .-])?\(?[2-9]\d\d\)?[ .-]+\d{3}[ .-]\d{4}",
             r"\d{3}-\d{4}|555 \d{4}",
             r"0\d{4} \d{6}|0\d{3} \d{3} \d{4}",
-            r"\(?0\d{2,3}\)?[ /]+\d{5,8}|\(?0\d{2,3}\)?[ /-]\d{5}[ -]\d{3}|00\d{2}[ /]\d{2,3}[ /]\d{4,9}(?:[ -]\d{3})?",
+            r"(?!\d{4} \d{6}$)\(?0\d{2,3}\)?[ /]+\d{5,8}|\(?0\d{2,3}\)?[ /-]\d{5}[ -]\d{3}|00\d{2}[ /]\d{2,3}[ /]\d{4,9}(?:[ -]\d{3})?",
             r"0\d(?:[ .]\d\d){4}",
             r"[89]00[ -]\d{3}[ -]\d{3}",
             r"8[ -]?\(\d{3}\)[ ]?\d{3}-?\d{2}-?\d{2}|8 \d{3} \d{3} \d\d \d\d",
@@ -78,7 +83,7 @@ NOT_PERSONAL = re.compile(r"\d{3}-\d-\d{4}-\d{4}-\d{1,2}|\d\d?-\d\d?-\d{2,4}|\d{
 #: The number words of the languages, as said in telephone numbers.
 NUMBER_WORDS = "oh zero one two three four five six seven eight nine double null eins zwei zwo drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve ноль один два три четыре пять шесть семь восемь девять".split()
 _NW = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
-SPOKEN = re.compile(rf"(?<!\w){_NW}(?:[,-]?{GAP}{_NW}){{5,14}}(?!\w)", re.I)
+SPOKEN = re.compile(rf"(?<!\w){_NW}(?:[,-]?{GAP}{_NW}){{5,}}(?!\w)", re.I)
 
 TOKEN = r"\p{Lu}[\p{L}\p{M}’0|]*[\p{L}\p{M}0|](?:-\p{Lu}[\p{L}\p{M}0|]+)*"
 PAIR = re.compile(rf"(?<![\w@.+-])({TOKEN})(?:,?{GAP})(?=((?:\p{{Lu}}\.{GAP}?)?)({TOKEN})(?!\w|@))")
@@ -149,15 +154,9 @@ def readable(text: str) -> tuple[str, list[int] | None]:
     return text, place
 
 
-#: Stems of the words that ``ADDRESS`` asks for; a stretch without any of them holds no address.
-_STREET = (
-    "street| st|road| rd|avenue| ave|lane| ln|court| ct|close|drive| dr|square| sq|terrace| way|place| row|gardens|crescent|blvd|boulevard|str|platz|weg|gasse|allee|ufer|damm"
-    "|am |im |zum |zur |an der|auf der|rue|chemin|av.|impasse|quai|all|bd|cours|route|passage|calle|c/|plaza|pza|avenida|avda|paseo|camino|ronda"
-    "|ул|пер|пр|площ|пл.|наб|бульв|б-р|шоссе|тракт|\nst|\nrd|\nave|\nln|\nct|\ndr|\nsq|\nway|\nrow"
-).split("|")
-_SOME_DIGITS = plain_re.compile(r"\d\D{0,3}\d\D{0,3}\d")
-_AT = plain_re.compile(r"@|[(\[{] ?at ?[)\]}]|\bat\b(?=\s.{1,80}?\bdot\b)", plain_re.I | plain_re.S)
-_DIGIT = plain_re.compile(r"\d[\d\s.,()/-]*")
+_AT = plain_re.compile(r"@|[(\[{]\s*at\s*[)\]}]|\bdot\b", plain_re.I)
+_BRACKETED = plain_re.compile(r"[(\[{]\s*at\s*[)\]}]")
+_DIGIT = plain_re.compile(r"\d")
 _LONG_WORDS = [w for w in NUMBER_WORDS if len(w) > 3]
 
 
@@ -190,31 +189,35 @@ def masked(text: str) -> str:
     return "".join(out)
 
 
-def _windows(marks: Iterator, before: int, after: int, n: int) -> list[tuple[int, int]]:
-    """Stretches around the marks, merged where they meet."""
+_BLANK_LINE = plain_re.compile("\x01|\n[ \t]*\n|\r\n[ \t]*\r\n|\r[ \t]*\r(?!\n)")
+
+
+def _blocks(marks: Iterator, text: str) -> list[tuple[int, int]]:
+    """The stretches between mask signs and blank lines that hold a mark. No pattern of this module crosses either,
+    so a search inside these stretches finds what a search of the whole text would, however long a piece is."""
     out: list[tuple[int, int]] = []
+    end = 0
     for m in marks:
-        i, j = max(0, m.start() - before), min(n, m.end() + after)
-        if out and i <= out[-1][1]:
-            out[-1] = (out[-1][0], j)
-        else:
-            out.append((i, j))
+        i = m.start()
+        if i < end:
+            continue
+        lo = max(end, text.rfind(MASK, end, i) + 1)
+        for sep in ("\n\n", "\r\n\r\n", "\r\r"):
+            if (k := text.rfind(sep, lo, i)) >= 0:
+                lo = k + len(sep)
+        stop = _BLANK_LINE.search(text, i)
+        end = stop.start() if stop else len(text)
+        out.append((lo, end))
     return out
 
 
-def _matches(pattern: re.Pattern, text: str, windows: list[tuple[int, int]], needs=None) -> Iterator:
-    for i, j in windows:
-        if needs is None or needs(text[i:j]):
-            yield from pattern.finditer(text, i, j)
-
-
-def _street(part: str) -> bool:
-    low = part.lower()
-    return any(w in low for w in _STREET)
+def _matches(pattern: re.Pattern, text: str, blocks: list[tuple[int, int]]) -> Iterator:
+    for i, j in blocks:
+        yield from pattern.finditer(text, i, j)
 
 
 def _context(text: str, start: int, end: int, unlabelled: bool = True) -> tuple[str, str]:
-    """Up to two words before and after, inside the cue and the sentence; ^ and $ where there is none. A speaker's
+    """Up to three words before and two after, inside the cue and the sentence; ^ and $ where there is none. A speaker's
     label at the start of a line is no context, unless ``unlabelled`` is false."""
     left = text[max(0, start - 60) : start]
     cut = max(left.rfind(MASK), left.rfind("\n\n"), left.rfind("\r\n\r\n"))
@@ -236,7 +239,7 @@ def _context(text: str, start: int, end: int, unlabelled: bool = True) -> tuple[
     for stop in ("\r\n\r\n", "\n\n"):
         right = right.split(stop)[0]
     after = WORD.findall(TAG.sub(" ", right).lower())
-    return " ".join(["^", *words][-2:]), " ".join([*after, "$"][:2])
+    return " ".join(["^", *words][-3:]), " ".join([*after, "$"][:2])
 
 
 def fold(word: str) -> str:
@@ -255,34 +258,35 @@ def shape(raw: str) -> str:
 def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
     """(kind, start, end, shape or first name part, second part, left, right) of a text's candidates.
 
-    ``kind`` is 'email', 'address', 'phone' (spoken or of a sure shape), 'id_number' (of a sure shape), 'number'
-    (undecided) or 'pair' (two capitalised words). Places are code points of the text as stored.
+    ``kind`` is what the form suggests: 'email', 'address', 'phone', 'id_number', 'other' (a number of a form that
+    nothing personal has), 'number' (undecided) or 'pair' (two capitalised words). Places are code points of the text
+    as stored.
     """
     plain, place = readable(text)
     body = masked(plain)
-    size = len(body)
-    digits = _windows(_DIGIT.finditer(body), 70, 70, size)
 
     def at(i: int, j: int) -> tuple[int, int]:
         return (i, j) if place is None else (place[i], place[j] if j < len(place) else len(text))
 
     taken: list[tuple[int, int]] = []
-    low = body.lower()
-    for m in _matches(EMAIL, body, _windows(_AT.finditer(body), 80, 110, size)):
-        if "@" in m.group() or re.search(r"(?i)\bdot\b|[(\[{]", m.group()):
-            taken.append(m.span())
-            yield ("email", *at(*m.span()), "", "", "", "")
-    for m in _matches(ADDRESS, body, digits, _street):
-        taken.append(m.span())
-        yield ("address", *at(*m.span()), "", "", "", "")
 
     def free(i: int, j: int) -> bool:
         return all(j <= a or i >= b for a, b in taken)
 
+    low = body.lower()
+    for m in _matches(EMAIL, body, _blocks(_AT.finditer(body), body)) if "@" in low or "dot" in low or _BRACKETED.search(low) else ():
+        if "@" in m.group() or re.search(r"(?i)\bdot\b|[(\[{]", m.group()):
+            taken.append(m.span())
+            yield ("email", *at(*m.span()), re.sub(r"[\w.+-]+", "w", m.group()), "", *_context(body, *m.span()))
+    digits = _blocks(_DIGIT.finditer(body), body)
+    for m in _matches(ADDRESS, body, digits):
+        if free(*m.span()):
+            taken.append(m.span())
+            yield ("address", *at(*m.span()), "street", "", *_context(body, *m.span()))
     for m in SPOKEN.finditer(body) if any(w in low for w in _LONG_WORDS) else ():
         taken.append(m.span())
-        yield ("phone", *at(*m.span()), "spoken", "", "", "")
-    for m in _matches(RUN, body, digits, _SOME_DIGITS.search):
+        yield ("phone", *at(*m.span()), "spoken", "", *_context(body, *m.span()))
+    for m in _matches(RUN, body, digits):
         i, j = m.span()
         raw = m.group()
         n_digits = sum(c.isdigit() for c in raw)
@@ -300,7 +304,7 @@ def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
         elif SHAPES_PHONE.fullmatch(read) or SHAPES_PHONE.fullmatch(bare.translate(_LOOKS)) and re.search(r"[OolI|]", bare):
             kind = "phone"
         elif NOT_PERSONAL.fullmatch(bare):
-            continue
+            kind = "other"
         else:
             kind = "number"
         yield (kind, *at(i, j), shape(read), "", left, right)
@@ -323,9 +327,8 @@ def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
 _SCHEMA = "{key} long, kind string, start_at long, end_at long, a string, b string, l string, r string"
 
 
-def candidates(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """One row per candidate of ``scan``. The list of known names (hundreds of rows) goes along with the tasks."""
-    parts = frozenset(fold(r[0]) for r in known.select("name").filter("name is not null").collect())
+def candidates(df: DataFrame, key: str, text: str, parts: frozenset[str]) -> DataFrame:
+    """One row per candidate of ``scan``. The folded known names go along with the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,120 +346,206 @@ def candidates(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFram
 
 
 def _keys(df: DataFrame) -> DataFrame:
-    """Each instance with its three patterns: both sides, the left side, the right side."""
+    """Each instance with its patterns: both sides, three words before, two words before, two words after."""
+    l2 = F.regexp_replace("l", r"^\S+ (?=\S+ \S+$)", "")
+    three = F.when(F.col("l") != l2, F.concat(F.lit("M:"), "l"))
     return df.withColumn(
-        "p",
-        F.explode(F.array(F.concat(F.lit("B:"), "l", F.lit(" | "), "r"), F.concat(F.lit("L:"), "l"), F.concat(F.lit("R:"), "r"))),
-    ).filter("not p in ('L:^', 'R:$', 'B:^ | $', 'R:. $', 'L:', 'R:')")
-
-
-def number_kinds(cands: DataFrame, key: str, scratch: Scratch, trust: float = 0.6) -> DataFrame:
-    """(key, kind, start_at, end_at) of phones and identity numbers among the number-like candidates."""
-    numbers = scratch.put(cands.filter("kind in ('phone', 'id_number', 'number')"))
-    sure = numbers.filter("kind <> 'number'")
-    open_ = numbers.filter("kind = 'number'")
-    labelled = _keys(numbers).select("p", "kind", "a")
-    patterns = labelled.groupBy("p").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("kind") == "phone").alias("n_phone"),
-        F.count_if(F.col("kind") == "id_number").alias("n_id"),
-        F.count_distinct(F.when(F.col("kind") == "phone", F.col("a"))).alias("s_phone"),
-        F.count_distinct(F.when(F.col("kind") == "id_number", F.col("a"))).alias("s_id"),
-    )
-    known = F.col("n_phone") + F.col("n_id")
-    scored = patterns.filter(known >= 2).select(
-        "p",
-        F.when((F.col("n_phone") >= trust * known) & ((F.col("s_phone") >= 2) | (known >= 3)), "phone").when((F.col("n_id") >= trust * known) & ((F.col("s_id") >= 2) | (known >= 3)), "id_number").alias("k"),
-        known.alias("w"),
-    )
-    trusted = scratch.put(scored.filter("k is not null"))
-    found = _keys(open_).join(small_or_plain(scratch, trusted), "p")
-    # The pattern of both sides speaks first, then the better supported side.
-    best = found.groupBy(key, "start_at", "end_at").agg(F.max_by("k", F.struct(F.col("p").startswith("B:"), F.col("w"), F.col("k"))).alias("kind"))
-    return sure.select(key, "kind", "start_at", "end_at").unionByName(best.select(key, "kind", "start_at", "end_at"))
+        "p", F.explode(F.array(F.concat(F.lit("B:"), l2, F.lit(" | "), "r"), three, F.concat(F.lit("L:"), l2), F.concat(F.lit("R:"), "r")))
+    ).filter("p is not null and not p in ('L:^', 'R:$', 'B:^ | $', 'R:. $', 'L:', 'R:')")
+
+
+def _bound(hits: Column, n: Column, sign: int, z: float = 1.28) -> Column:
+    """Lower (sign -1) or upper (sign 1) end of the Wilson interval of a share, nine in ten on that side."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) + sign * z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
 
+FORMED = ("email", "address", "phone", "id_number")
 
-def name_pairs(cands: DataFrame, known: DataFrame, key: str, scratch: Scratch, rounds: int = 3) -> DataFrame:
-    """(key, kind, start_at, end_at) of the pairs that are a person's given and family name, in either order."""
+
+def form_kinds(cands: DataFrame, key: str, scratch: Scratch, trust: float = 0.4) -> DataFrame:
+    """(key, kind, start_at, end_at) of emails, addresses, phones and identity numbers.
+
+    The graph's edges are counted once as (pattern, shape, n); rounds work on these counts. A pattern speaks for a kind
+    if the lower bound of the kind's share among all its occurrences, undecided ones included, reaches ``trust``. For
+    the judgement of a shape, its own occurrences are left out of its patterns: nine in ten such votes for one kind,
+    from three in ten of its edges by the lower bound, give an undecided shape that kind, or turn over the one its form
+    suggests. Each shape turns once, so the rounds end.
+    """
+    found = scratch.put(cands.filter("kind <> 'pair'").withColumn("s", F.concat_ws("|", "kind", "a")))
+    edges = scratch.put(_keys(found).groupBy("p", "s").agg(F.count(F.lit(1)).alias("n")))
+    # Emails and addresses are words, told by their form, and negative seeds are no one's; only other numbers turn.
+    kinds = scratch.put(found.select("s", F.when(F.col("kind") != "number", F.col("kind")).alias("k"), F.col("kind").isin("email", "address", "other").alias("turned")).distinct())
+    sizes = edges.groupBy("s").agg(F.sum("n").alias("size"))
+
+    def told(kinds: DataFrame) -> DataFrame:
+        """Edges with their shape's kind and, for each kind, its count in the pattern."""
+        now = edges.join(small_or_plain(scratch, kinds), "s")
+        totals = now.groupBy("p").agg(
+            F.sum("n").alias("n_all"), *(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in (*FORMED, "other"))
+        )
+        return now.join(totals, "p")
+
+    def verdict(own: Column) -> Column:
+        """The kind a pattern speaks for; ``own`` is what is left out of its counts."""
+        n = F.col("n_all") - own
+        out = F.lit(None).cast("string")
+        for k in (*FORMED, "other"):
+            hits = F.col(f"n_{k}") - F.when(F.col("k") == k, own).otherwise(0)
+            out = F.when((hits >= 2) & (_bound(hits, n, -1) >= (trust if k != "other" else 0.8)), F.lit(k)).otherwise(out)
+        return F.when(n > 0, out)
+
+    while True:
+        votes = told(kinds).withColumn("vote", verdict(F.col("n"))).filter("vote in ('phone', 'id_number', 'other')").groupBy("s", "vote").agg(F.sum("n").alias("n"))
+        best = votes.groupBy("s").agg(F.max(F.struct("n", "vote")).alias("b"), F.sum("n").alias("total")).join(sizes, "s")
+        clear = best.filter((F.col("b.n") >= 0.9 * F.col("total")) & (_bound(F.col("b.n"), F.col("size"), -1) >= 0.3)).select("s", F.col("b.vote").alias("vote"), F.col("b.n").alias("n"))
+        turn = kinds.join(clear, "s").filter("not turned and not vote <=> k")
+        # Undecided shapes take their kind together; of shapes that would turn over, which may stand against each other,
+        # only the best supported one does in a round.
+        one = turn.filter("k is not null").orderBy(F.col("n").desc(), "s").limit(1)
+        turn = turn.filter("k is null").unionByName(one).select("s", "vote")
+        new = scratch.put(
+            kinds.join(turn, "s", "left").select("s", F.coalesce("vote", "k").alias("k"), (F.col("turned") | F.col("vote").isNotNull()).alias("turned"), F.col("vote").isNotNull().alias("moved"))
+        )
+        scratch.drop(kinds)
+        moved = new.filter("moved").limit(1).count()
+        kinds = new.drop("moved")
+        kinds._scratch_path = new._scratch_path
+        if not moved:
+            break
+    judged = told(kinds)
+    # A shape with a kind gives way only to what its patterns say without it; one without takes the pattern's kind.
+    v = F.when(F.col("k").isNull(), verdict(F.lit(0))).otherwise(verdict(F.col("n")))
+    says = scratch.put(judged.select("p", "s", F.col("n_all").alias("w"), v.alias("v")).filter("v in ('phone', 'id_number', 'other')"))
+    heard = _keys(found).select(key, "start_at", "end_at", "p", "s").join(small_or_plain(scratch, says), ["p", "s"])
+    rank = F.when(F.col("p").startswith("B:"), 2).when(F.col("p").startswith("M:"), 1).otherwise(0)
+    heard = heard.groupBy(key, "start_at", "end_at", "s").agg(F.max_by("v", F.struct(rank, F.col("w"), F.col("v"))).alias("v"))
+    named = found.select(key, "start_at", "end_at", "s").join(small_or_plain(scratch, kinds.select("s", "k"), kinds), "s").join(heard, [key, "start_at", "end_at", "s"], "left")
+    # Words of the form of an email or an address give way only to surroundings of other things, as do forms of other
+    # things to none; any other number is what its surroundings say.
+    kind = F.when(F.col("k") == "other", F.col("k")).when(F.col("k").isin("email", "address") & ~F.col("v").eqNullSafe(F.lit("other")), F.col("k")).otherwise(F.coalesce("v", "k"))
+    return named.withColumn("kind", kind).filter(F.col("kind").isin(*FORMED)).select(key, "kind", "start_at", "end_at")
+
+
+def name_pairs(cands: DataFrame, known: list[tuple[str, str]], key: str, scratch: Scratch) -> DataFrame:
+    """(key, kind, start_at, end_at, score) of the pairs that are a person's given and family name, in either order.
+
+    A pair is whole if one part is a given and the other a family name. Patterns are trusted by the lower bound of the
+    share of whole pairs in them and count against a pair if the upper bound is low. A part is learned if the lower
+    bound of its pairs in trusted patterns among all its pairs with a fitting part is high, from two patterns and two
+    partners at least; a pair that crosses a whole one counts against it. Parts only join while rounds go on; at the end
+    all learned ones are judged again.
+    """
     spark = cands.sparkSession
-    folded = F.udf(fold, "string")  # over the list of known names only
     pairs = scratch.put(cands.filter("kind = 'pair'").select(key, "start_at", "end_at", "a", "b", "l", "r"))
-    lex = scratch.put(
-        known.filter("name is not null and name_type in ('given', 'family')").select(folded("name").alias("w"), F.col("name_type").alias("t")).distinct()
-    )
+    seeds = spark.createDataFrame(sorted({(fold(w), t) for w, t in known}), "w string, t string")
+    lex = scratch.put(seeds)
+    whole = (F.col("ga") & F.col("fb")) | (F.col("fa") & F.col("gb"))
+    some = F.col("ga") | F.col("fb") | F.col("fa") | F.col("gb")
 
     def marked(lexicon: DataFrame) -> DataFrame:
-        """ga, fa, gb, fb: a part of the first or second word is a given or a family name."""
+        """Pairs with ga, fa, gb, fb (a part of the first or second word is a given or a family name), whole, some, and
+        crossed: it shares a word with a whole pair and is none."""
         types = lexicon.groupBy("w").agg(F.max(F.col("t") == "given").alias("g"), F.max(F.col("t") == "family").alias("f"))
-        words = pairs.select(F.col("a").alias("word")).union(pairs.select("b")).distinct()
-        flags = (
-            words.select("word", F.explode(F.split("word", "-")).alias("w"))
-            .join(types, "w")
-            .groupBy("word")
-            .agg(F.max("g").alias("g"), F.max("f").alias("f"))
+        words = pairs.select(F.explode(F.array("a", "b")).alias("word")).distinct()
+        flags = scratch.put(
+            words.select("word", F.explode(F.split("word", "-")).alias("w")).join(types, "w").groupBy("word").agg(F.max("g").alias("g"), F.max("f").alias("f"))
         )
-        flags = scratch.put(flags)
         fa = small_or_plain(scratch, flags.select(F.col("word").alias("a"), F.col("g").alias("ga"), F.col("f").alias("fa")), flags)
         fb = small_or_plain(scratch, flags.select(F.col("word").alias("b"), F.col("g").alias("gb"), F.col("f").alias("fb")), flags)
-        out = pairs.join(fa, "a", "left").join(fb, "b", "left")
-        return out.fillna(False, subset=["ga", "fa", "gb", "fb"])
-
-    whole = (F.col("ga") & F.col("fb")) | (F.col("fa") & F.col("gb"))
-    some = F.col("ga") | F.col("fb") | F.col("fa") | F.col("gb")
-    trusted = None
-    for _ in range(rounds):
-        now = scratch.put(marked(lex))
+        out = pairs.join(fa, "a", "left").join(fb, "b", "left").fillna(False, subset=["ga", "fa", "gb", "fb"])
+        row = Window.partitionBy(key).orderBy("start_at", "end_at")
+        out = out.withColumns({"whole": whole, "some": some})
+        before = F.coalesce(F.lag("whole").over(row) & (F.lag("end_at").over(row) > F.col("start_at")), F.lit(False))
+        after = F.coalesce(F.lead("whole").over(row) & (F.lead("start_at").over(row) < F.col("end_at")), F.lit(False))
+        return out.withColumn("crossed", ~F.col("whole") & (before | after))
+
+    def scored(now: DataFrame) -> DataFrame:
+        """Each pair with ``good``: 2 if its whole surroundings are trusted, 1 if a side is and nothing speaks against
+        it, -1 if its surroundings speak against it, else 0; and ``sure``: both sides are strongly trusted."""
         keyed = _keys(now)
-        scores = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("hits"), F.count_distinct(F.when(whole, F.concat("a", "b"))).alias("names"))
-        trusted = scratch.put(
-            scores.filter("names >= 2 and hits >= 0.12 * n").select("p", (F.col("hits") / F.col("n")).alias("score"))
+        stats = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("hits"), F.count_distinct(F.when(F.col("whole"), F.concat_ws(" ", "a", "b"))).alias("names"))
+        v = F.when((F.col("names") >= 2) & (_bound(F.col("hits"), F.col("n"), -1) >= 0.1), 1).when(_bound(F.col("hits"), F.col("n"), 1) < 0.1, -1)
+        said = scratch.put(stats.select("p", v.alias("v"), (_bound(F.col("hits"), F.col("n"), -1) >= 0.3).alias("strong")).filter("v is not null"))
+        both = F.col("p").startswith("B:")
+        heard = keyed.select(key, "start_at", "end_at", "p").join(small_or_plain(scratch, said), "p").groupBy(key, "start_at", "end_at").agg(
+            F.max(F.when(both, F.col("v"))).alias("vb"), F.max("v").alias("most"), F.min("v").alias("least"), F.max(F.when(both & (F.col("v") > 0), F.col("strong"))).alias("sure")
         )
-        near = keyed.join(small_or_plain(scratch, trusted), "p").filter(F.col("p").startswith("B:") | (F.col("score") >= 0.3))
-        new = near.filter(some & ~whole).select(
-            F.when(F.col("ga"), F.col("b")).when(F.col("fb"), F.col("a")).when(F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("word"),
-            F.when(F.col("ga") | F.col("gb"), F.lit("family")).otherwise(F.lit("given")).alias("t"),
+        good = F.when(F.col("vb") > 0, 2).when(F.col("least") < 0, -1).when(F.col("most") > 0, 1).otherwise(0)
+        return now.join(heard, [key, "start_at", "end_at"], "left").withColumns({"good": good, "sure": F.coalesce("sure", F.lit(False))})
+
+    def learned(judged: DataFrame) -> DataFrame:
+        """(w, t) of the parts that trusted patterns give beside a known part."""
+        as_family = F.when(F.col("ga"), F.col("b")).when(F.col("gb"), F.col("a"))
+        as_given = F.when(F.col("fa"), F.col("b")).when(F.col("fb"), F.col("a"))
+        ways = F.array(F.struct(as_family.alias("word"), F.lit("family").alias("t")), F.struct(as_given.alias("word"), F.lit("given").alias("t")))
+        rows = judged.filter("some").select("a", "b", "l", "r", "good", "crossed", F.explode(ways).alias("x")).select("*", "x.word", "x.t").filter("word is not null")
+        rows = rows.withColumn("ok", (F.col("good") > 0) & ~F.col("crossed")).withColumn("w", F.explode(F.split("word", "-"))).filter(F.length("w") > 2)
+        other = F.when(F.col("word") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        stats = rows.groupBy("w", "t").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("hits"), F.count_distinct(F.when(F.col("ok"), F.concat_ws("|", "l", "r"))).alias("places"), F.count_distinct(F.when(F.col("ok"), other)).alias("partners")
         )
-        learned = new.select(F.explode(F.split("word", "-")).alias("w"), "t").filter(F.length("w") > 2).distinct()
-        lex = scratch.put(lex.union(learned).distinct())
-    now = scratch.put(marked(lex))
-    keyed = _keys(now)
-    total = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("hits"), F.count_distinct(F.when(whole, F.concat("a", "b"))).alias("names"))
-    verdict = scratch.put(
-        total.select(
-            "p",
-            F.when((F.col("names") >= 2) & (F.col("hits") >= 0.3 * F.col("n")), F.lit(1))
-            .when(F.col("p").startswith("B:") & (F.col("n") >= 8) & (F.col("hits") < 0.12 * F.col("n")), F.lit(-1))
-            .otherwise(F.lit(0))
-            .alias("v"),
-        ).filter("v <> 0")
-    )
-    judged = keyed.join(small_or_plain(scratch, verdict), "p", "left").groupBy(key, "start_at", "end_at").agg(
-        F.max(whole).alias("whole"),
-        F.max(some).alias("some"),
-        F.coalesce(F.max(F.when(F.col("v") > 0, F.when(F.col("p").startswith("B:"), 2).otherwise(1))), F.lit(0)).alias("good"),
-        F.coalesce(F.min("v"), F.lit(0)).alias("bad"),
+        return stats.filter((F.col("places") >= 2) & (F.col("partners") >= 2) & (_bound(F.col("hits"), F.col("n"), -1) >= 0.25)).select("w", "t")
+
+    size = lex.count()
+    while True:
+        judged = scratch.put(scored(scratch.put(marked(lex))))
+        fresh = scratch.put(lex.union(learned(judged)).distinct())
+        grown = fresh.count()
+        lex = fresh
+        if grown == size:
+            break
+        size = grown
+    lex = scratch.put(seeds.union(learned(judged)).distinct())
+    judged = scored(scratch.put(marked(lex)))
+    score = (
+        F.when(F.col("whole") & (F.col("good") >= 0), 2 + F.col("good")).when(F.col("some") & ~F.col("crossed") & (F.col("good") > 0), F.col("good")).when(~F.col("some") & ~F.col("crossed") & F.col("sure"), 1)
     )
-    # Pairs all of whose patterns are empty contexts have no key; they stand on their parts alone.
-    bare = now.filter(whole).select(key, "start_at", "end_at")
-    ok = judged.filter("(whole and bad >= 0) or (some and good >= 1 and bad >= 0) or good = 2").select(key, "start_at", "end_at")
-    vetoed = judged.filter("bad < 0").select(key, "start_at", "end_at")
-    out = ok.union(bare.join(vetoed, [key, "start_at", "end_at"], "left_anti")).distinct()
-    return out.select(key, F.lit("name").alias("kind"), "start_at", "end_at")
+    return judged.withColumn("score", score).filter("score is not null").select(key, F.lit("name").alias("kind"), "start_at", "end_at", "score")
+
+
+def _apart(pieces: DataFrame, key: str) -> DataFrame:
+    """Of overlapping pieces of one text, the first in the order of kinds, score, length and place. The pieces of one
+    text gather in one row: they are fewer than its characters."""
+    order = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "address", 1).when(F.col("kind") == "name", 3).otherwise(2)
+    row = F.struct(order.alias("o"), (-F.col("score")).alias("s"), (F.col("start_at") - F.col("end_at")).alias("n"), "start_at", "end_at", "kind")
+    lists = pieces.groupBy(key).agg(F.array_sort(F.collect_set(row)).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            for k, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                starts: list[int] = []
+                ends: list[int] = []
+                for x in rows:
+                    i = bisect.bisect_left(starts, x["end_at"])
+                    if i and ends[i - 1] > x["start_at"]:
+                        continue
+                    starts.insert(i, x["start_at"])
+                    ends.insert(i, x["end_at"])
+                    for c, v in zip(cols, (k, x["kind"], x["start_at"], x["end_at"]), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[key, "kind", "start_at", "end_at"])
+
+    return lists.mapInArrow(run, f"`{key}` long, kind string, start_at long, end_at long")
 
 
 def find(df: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, start_at, end_at): one row per piece of personal information, places in code points from 0.
 
     Whole texts are read; cue numbers and times never count. Null and empty texts have none. Repeated rows of one
-    key give each place once. Where two pieces overlap, the longer one in the order email, address, phone and
-    identity number, name holds. Other columns are ignored, whatever their names.
+    key give each place once. Of overlapping pieces the first in the order email, address, phone and identity number,
+    name holds, then the better supported, the longer, the earlier. Other columns are ignored, whatever their names.
+    ``known`` is a list by nature (``known_names``): it goes to the driver and with the tasks, and a list above
+    ``KNOWN_LIMIT`` names is refused.
     """
     scratch = Scratch(df.sparkSession, "pii")
-    cands = scratch.put(candidates(df, key, text, known))
-    formed = cands.filter("kind in ('email', 'address')").select(key, "kind", "start_at", "end_at")
-    numbers = number_kinds(cands, key, scratch)
-    names = name_pairs(cands, known, key, scratch)
-    return formed.unionByName(numbers).unionByName(names).distinct()
+    names = [(r[0], r[1]) for r in known.filter("name is not null and name_type in ('given', 'family')").select("name", "name_type").distinct().limit(KNOWN_LIMIT + 1).collect()]
+    if len(names) > KNOWN_LIMIT:
+        raise ValueError(f"more than {KNOWN_LIMIT} known names")
+    cands = scratch.put(candidates(df, key, text, frozenset(fold(n) for n, _ in names)))
+    formed = form_kinds(cands, key, scratch).withColumn("score", F.lit(0))
+    return _apart(formed.unionByName(name_pairs(cands, names, key, scratch)), key)
 
 
 def redact(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -262,6 +262,53 @@ def test_emails_in_any_brackets_are_found(email):
     assert [text[r[1] : r[2]] for r in pii.scan(text, frozenset()) if r[0] == "email"] == [email]
 
 
+@pytest.mark.parametrize("gap", [" ", "\t", "\u00a0", "\u202f", "\r", "\r\n", "\n"])
+def test_addresses_with_any_gap_and_of_any_length_are_found(gap):
+    for want in (f"12{gap}Mill{gap}St", f"12{gap}{'Mill' * 60}{gap}Street"):
+        text = f"1\n00:00:01,000 --> 00:00:02,000\nWe live at {want}.\n\n2\n00:00:03,000 --> 00:00:04,000\nNo. 7.\n"
+        assert [text[r[1] : r[2]] for r in pii.scan(text, frozenset()) if r[0] == "address"] == [want]
+    assert not [r for r in pii.scan("We met 0n Larch Street, remember?", frozenset()) if r[0] == "address"]
+
+
+def test_emails_and_spoken_numbers_of_any_length_are_found():
+    mail, spoken = "a" * 300 + "@" + "b" * 200 + ".test", ", ".join(["five"] * 40)
+    text = f"Write to {mail} or say {spoken}."
+    assert {(r[0], text[r[1] : r[2]]) for r in pii.scan(text, frozenset()) if r[0] != "pair"} == {("email", mail), ("phone", spoken)}
+
+
+def _cues(lines):
+    return [(i, f"1\n00:00:01,000 --> 00:00:02,000\n{t}\n") for i, t in enumerate(lines)]
+
+
+def test_noise_is_not_learned_however_often_it_comes(spark):
+    given, family = ["Marta", "Ilse", "Jonas", "Klara"], ["Wexarholt", "Calunmark", "Brinorfell", "Tarnuswyk"]
+    lines = [f"Kennen Sie {g} {f}?" for g in given for f in family] + [f"Paging {g} {f}, please." for g in given for f in family]
+    real = len(lines)
+    lines += [f"Ask {g}. Winter comes." for g in given for _ in range(80)] + [f"The {f} Ferry doesn't run." for f in family for _ in range(80)]
+    lines += [f"Ask {g} {f}. Or not." for g in given for f in family[:1]] + ["Paging Odette Quenasbrook, please."]
+    docs = spark.createDataFrame(_cues(lines), "doc_id long, text string")
+    known = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate([(g, "given") for g in given[:3]] + [(f, "family") for f in family[:3]])], "name_id int, name string, name_type string")
+    names = {(r.doc_id, lines[r.doc_id][r.start_at - 32 : r.end_at - 32]) for r in pii.find(docs, known).filter("kind = 'name'").collect()}
+    pairs = [(g, f) for g in given for f in family]
+    want = {(i, " ".join(p)) for i, p in enumerate(pairs * 2)} | {(i + real + 640, f"{g} {family[0]}") for i, g in enumerate(given)} | {(len(lines) - 1, "Odette Quenasbrook")}
+    assert names == want
+
+
+def test_surroundings_turn_over_and_decide_numbers(spark):
+    lines = [f"Паспорт {i:02d} {i:02d} № {123400 + i}." for i in range(30)] + [f"Паспорт {1000 + i} {223400 + i}." for i in range(20)] + [f"Паспорт {1000000000 + i}." for i in range(5)]
+    lines += [f"Engine no. {i}/{i} B" for i in range(1000, 1040)] + [f"Serial {5550000000 + i}, made well." for i in range(40)]
+    docs = spark.createDataFrame(_cues(lines), "doc_id long, text string")
+    known = spark.createDataFrame([], "name_id int, name string, name_type string")
+    found = {r.doc_id: r.kind for r in pii.find(docs, known).collect()}
+    assert found == dict.fromkeys(range(55), "id_number")
+
+
+def test_overlapping_pieces_are_settled(spark):
+    rows = [(1, "name", 0, 9, 3), (1, "name", 5, 14, 4), (1, "name", 12, 20, 2), (1, "email", 40, 50, 0), (1, "phone", 45, 60, 0), (1, "phone", 60, 70, 0), (2, "name", 0, 9, 1)]
+    df = spark.createDataFrame(rows, "k long, kind string, start_at long, end_at long, score int")
+    assert {tuple(r) for r in pii._apart(df, "k").collect()} == {(1, "name", 5, 14), (1, "email", 40, 50), (1, "phone", 60, 70), (2, "name", 0, 9)}
+
+
 def test_places_count_in_the_text_as_stored():
     clean_text = "Schön, schreib an ilse@pochta.test."
     broken = clean_text.encode("utf-8").decode("cp1252")
