@@ -155,9 +155,23 @@ def readable(text: str) -> tuple[str, list[int] | None]:
 
 
 _AT = plain_re.compile(r"@|[(\[{]\s*at\s*[)\]}]|\bdot\b", plain_re.I)
+#: Stems of the words that ``ADDRESS`` asks for, in lower case with every gap as one blank; a stretch without any of
+#: them holds no address.
+_STREET = (
+    " street| st| road| rd| avenue| ave| lane| ln| court| ct| close| drive| dr| square| sq| terrace| way| place| row| gardens| crescent| boulevard| blvd"
+    "|straße|stra|str.|platz|weg|gasse|allee|ufer|damm|am |im |zum |zur |der "
+    "|rue |place |chemin |avenue |av.|impasse |quai |all|boulevard |bd |cours |square |route |passage "
+    "|calle|c/|plaza|pza|avenida|avda|paseo|camino|ronda|ул|пер|пр|площ|пл.|наб|бульв|б-р|шоссе|тракт"
+).split("|")
+_PLAIN_PART = plain_re.compile(r"[\w.+-]+")
+_SPELT = plain_re.compile(r"\bdot\b|[(\[{]", plain_re.I)
+_MISREAD = plain_re.compile(r"[ol|]|\d[OISB]\d")
+_LETTERED = plain_re.compile(r"[OolI|]")
+_LINE_END = plain_re.compile(r"\r\n|\n|\r")
 _BRACKETED = plain_re.compile(r"[(\[{]\s*at\s*[)\]}]")
 _DIGIT = plain_re.compile(r"\d")
-_LONG_WORDS = [w for w in NUMBER_WORDS if len(w) > 3]
+_AT = plain_re.compile(r"@|[(\[{]\s*at\s*[)\]}]|\bdot\b", plain_re.I)
+_SPOKEN_TOKENS = {w + tail for w in NUMBER_WORDS for tail in ("", ",", "-")}
 
 
 def masked(text: str) -> str:
@@ -216,13 +230,17 @@ def _matches(pattern: re.Pattern, text: str, blocks: list[tuple[int, int]]) -> I
         yield from pattern.finditer(text, i, j)
 
 
+def _street(part: str) -> bool:
+    return any(map(" ".join(part.lower().split()).__contains__, _STREET))
+
+
 def _context(text: str, start: int, end: int, unlabelled: bool = True) -> tuple[str, str]:
     """Up to three words before and two after, inside the cue and the sentence; ^ and $ where there is none. A speaker's
     label at the start of a line is no context, unless ``unlabelled`` is false."""
     left = text[max(0, start - 60) : start]
     cut = max(left.rfind(MASK), left.rfind("\n\n"), left.rfind("\r\n\r\n"))
     left = TAG.sub(" ", left[cut + 1 :])
-    lines = re.split(r"\r\n|\n|\r", left)
+    lines = _LINE_END.split(left)
     if unlabelled and len(lines) > 1 and LABEL.match(lines[-1]):
         lines = lines[-1:]
     left = " ".join(lines)
@@ -252,7 +270,7 @@ def fold(word: str) -> str:
 
 
 def shape(raw: str) -> str:
-    return re.sub(r"\d", "9", re.sub(r"\s+", " ", raw))
+    return _DIGIT.sub("9", " ".join(raw.split()))
 
 
 def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
@@ -275,15 +293,16 @@ def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
 
     low = body.lower()
     for m in _matches(EMAIL, body, _blocks(_AT.finditer(body), body)) if "@" in low or "dot" in low or _BRACKETED.search(low) else ():
-        if "@" in m.group() or re.search(r"(?i)\bdot\b|[(\[{]", m.group()):
+        if "@" in m.group() or _SPELT.search(m.group()):
             taken.append(m.span())
-            yield ("email", *at(*m.span()), re.sub(r"[\w.+-]+", "w", m.group()), "", *_context(body, *m.span()))
+            yield ("email", *at(*m.span()), _PLAIN_PART.sub("w", m.group()), "", *_context(body, *m.span()))
     digits = _blocks(_DIGIT.finditer(body), body)
-    for m in _matches(ADDRESS, body, digits):
+    for m in _matches(ADDRESS, body, [x for x in digits if _street(body[slice(*x)])]):
         if free(*m.span()):
             taken.append(m.span())
             yield ("address", *at(*m.span()), "street", "", *_context(body, *m.span()))
-    for m in SPOKEN.finditer(body) if any(w in low for w in _LONG_WORDS) else ():
+    # Of the words of a spoken number at least those between the first and the last stand alone or before a sign.
+    for m in SPOKEN.finditer(body) if sum(map(_SPOKEN_TOKENS.__contains__, low.split())) >= 4 else ():
         taken.append(m.span())
         yield ("phone", *at(*m.span()), "spoken", "", *_context(body, *m.span()))
     for m in _matches(RUN, body, digits):
@@ -292,16 +311,16 @@ def scan(text: str, parts: frozenset[str]) -> Iterator[tuple]:
         n_digits = sum(c.isdigit() for c in raw)
         if n_digits < 3 or sum(c.isdigit() for c in raw.translate(_LOOKS)) < 5 or not free(i, j):
             continue
-        bare = re.sub(r"\s+", " ", raw)
+        bare = " ".join(raw.split())
         if bare.count("(") != bare.count(")"):
             continue
-        read = bare if re.fullmatch(r"[^a-zA-Z|]*", bare) else bare.translate(_LOOKS) if re.search(r"[ol|]", bare) or re.search(r"\d[OISB]\d", bare) else bare
+        read = bare.translate(_LOOKS) if _MISREAD.search(bare) else bare
         left, right = _context(body, i, j)
         if left == "^":
             left, right = _context(body, i, j, False)
         if SHAPES_ID.fullmatch(bare):
             kind = "id_number"
-        elif SHAPES_PHONE.fullmatch(read) or SHAPES_PHONE.fullmatch(bare.translate(_LOOKS)) and re.search(r"[OolI|]", bare):
+        elif SHAPES_PHONE.fullmatch(read) or SHAPES_PHONE.fullmatch(bare.translate(_LOOKS)) and _LETTERED.search(bare):
             kind = "phone"
         elif NOT_PERSONAL.fullmatch(bare):
             kind = "other"
@@ -487,16 +506,12 @@ def name_pairs(cands: DataFrame, known: list[tuple[str, str]], key: str, scratch
         )
         return stats.filter((F.col("places") >= 2) & (F.col("partners") >= 2) & (_bound(F.col("hits"), F.col("n"), -1) >= 0.25)).select("w", "t")
 
-    size = lex.count()
     while True:
-        judged = scratch.put(scored(scratch.put(marked(lex))))
-        fresh = scratch.put(lex.union(learned(judged)).distinct())
-        grown = fresh.count()
-        lex = fresh
-        if grown == size:
+        got = scratch.put(learned(scored(scratch.put(marked(lex)))))
+        if not got.join(lex, ["w", "t"], "left_anti").limit(1).count():
             break
-        size = grown
-    lex = scratch.put(seeds.union(learned(judged)).distinct())
+        lex = scratch.put(lex.union(got).distinct())
+    lex = scratch.put(seeds.union(got).distinct())
     judged = scored(scratch.put(marked(lex)))
     score = (
         F.when(F.col("whole") & (F.col("good") >= 0), 2 + F.col("good")).when(F.col("some") & ~F.col("crossed") & (F.col("good") > 0), F.col("good")).when(~F.col("some") & ~F.col("crossed") & F.col("sure"), 1)
