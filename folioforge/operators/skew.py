@@ -1,63 +1,110 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
-1. ``partition_counts`` counts keys per input partition (map-side, one row per key and partition).
-2. ``key_offsets`` prefix-sums those counts: where each partition's rows of a key start.
+1. ``partition_counts`` counts rows, or the rows of each key, per partition.
+2. ``key_offsets`` prefix-sums those counts: where each partition's rows (of a key) start.
 3. ``numbered`` sorts rows by key and order over range partitions that may split a key anywhere, and numbers
    them exactly from the partitions' offsets.
 4. ``chunk_states`` reduces equal-sized chunks of that numbering; a key of any size spreads over many chunks.
 5. ``merge_states`` merges the chunks' ordered boundary states to one row per key.
 
+``heavy_keys`` needs no row in any order: it cuts each partition's run of a key, placed by its offset, at the chunk
+bounds (``run_states``) and reads a key's total off its last chunk.
+
 No step holds a key's rows in one task. Null keys belong to no key and are left out; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import Scratch
+from folioforge.session import Scratch, small_or_plain
 
+#: Keys held before equal ones are added up.
+HELD_KEYS = 2_000_000
 
-def partition_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key..., _part, _n): rows of each key in each input partition."""
-    return (
-        df.select(*key, F.spark_partition_id().alias("_part"))
-        .groupBy(*key, "_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
 
+def partition_counts(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """(key..., _part, _n): rows of each key, or without a key all rows, in each partition."""
+    part = df if "_part" in df.columns else df.withColumn("_part", F.spark_partition_id())
+    return part.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
 
-def key_offsets(counts: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Adds ``_from``, the number of rows of the key in earlier partitions (exclusive prefix sum)."""
+
+def key_offsets(counts: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_from``, the number of rows (of the key) in earlier partitions (exclusive prefix sum). Without a key the
+    table has one row per partition."""
     w = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_from", F.coalesce(F.sum("_n").over(w), F.lit(0)))
 
 
-def heavy_keys(df: DataFrame, fields: Sequence[str], share: float = 0.01) -> DataFrame:
+def run_states(runs: DataFrame, key: Sequence[str], chunk_rows: int) -> DataFrame:
+    """(key..., _chunk, _rows): rows of a key in each chunk of ``chunk_rows`` of its numbering, from runs that start at
+    ``_from`` and hold ``_n`` rows."""
+    lo, hi = F.floor(F.col("_from") / chunk_rows), F.floor((F.col("_from") + F.col("_n") - 1) / chunk_rows)
+    cut = runs.withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+    rows = F.least(F.col("_from") + F.col("_n"), (F.col("_chunk") + 1) * chunk_rows) - F.greatest(F.col("_from"), F.col("_chunk") * chunk_rows)
+    return cut.groupBy(*key, "_chunk").agg(F.sum(rows).alias("_rows"))
+
+
+def _locally_heavy(fields: Sequence[str], per_million: int):
+    """Of each partition the keys that reach the share among its own rows, and one row with its number of rows."""
+
+    def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(keys, return_inverse=True)
+        return found, np.bincount(where, weights=counts, minlength=len(found)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in fields]
+        waiting = [0] * len(fields)
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for i in range(len(fields)):
+                got = np.unique(batch.column(i).drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+                held[i].append(got)
+                waiting[i] += len(got[0])
+                if waiting[i] > HELD_KEYS:
+                    held[i], waiting[i] = [added(*map(np.concatenate, zip(*held[i], strict=True)))], 0
+        names: list[str | None] = [None]
+        keys: list[int | None] = [None]
+        counts = [rows]
+        for name, parts in zip(fields, held, strict=True):
+            if parts:
+                k, n = added(*map(np.concatenate, zip(*parts, strict=True)))
+                heavy = n * 1_000_000 >= rows * per_million
+                names += [name] * int(heavy.sum())
+                keys += k[heavy].tolist()
+                counts += n[heavy].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["field_name", "key_id", "_n"])
+
+    return run
+
+
+def heavy_keys(df: DataFrame, fields: Sequence[str], share: float = 0.01, chunk_rows: int = 100_000) -> DataFrame:
     """(field_name, key_id, n_rows): every non-null value that at least ``share`` of all rows hold.
 
-    Rows count as they are, repeats and rows with nulls included. Counts are made per input partition; only keys
-    over the bar (at most ``1 / share`` of a field) get their partition offsets, and a key's total is its last
-    boundary state: offset plus count of its last partition. Ties need no rule; an empty table has no heavy key.
+    Rows count as they are, repeats and rows with nulls included. A key that reaches the share of all rows reaches it
+    in one partition at least, so each task names its own (at most ``1 / share`` a field) and nothing else is moved.
+    The named keys are counted per partition, placed by their offsets, and cut into chunks; a key's total is where its
+    last chunk ends. Ties need no rule; an empty table has no heavy key.
     """
-    per_mille = round(share * 1_000_000)
-    keyed = df.select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("long").alias("key_id")) for f in fields])).alias("k")
-    ).select("k.field_name", "k.key_id")
-    # One row per field and partition with a null key keeps the count of all rows in the same pass.
-    counts = partition_counts(keyed, ["field_name", "key_id"])
-    totals = counts.groupBy("field_name", "key_id").agg(F.sum("_n").alias("_total"))
-    all_rows = counts.filter(F.col("field_name") == fields[0]).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
-    bar = totals.crossJoin(F.broadcast(all_rows)).filter(
-        F.col("key_id").isNotNull() & (F.col("_total") * 1_000_000 >= F.col("_all") * per_mille)
-    )
-    # Proven bound: at most 1/share keys a field pass the bar.
-    held = counts.join(F.broadcast(bar.select("field_name", "key_id")), ["field_name", "key_id"], "left_semi")
-    states = key_offsets(held, ["field_name", "key_id"]).withColumn("_upto", F.col("_from") + F.col("_n"))
-    return states.groupBy("field_name", "key_id").agg(F.max("_upto").alias("n_rows"))
+    scratch = Scratch(df.sparkSession, "heavy")
+    per_million = round(share * 1_000_000)
+    longs = df.select(*[F.col(f).cast("long").alias(f) for f in fields])
+    local = scratch.put(longs.mapInArrow(_locally_heavy(fields, per_million), "field_name string, key_id long, _n long"))
+    all_rows = local.filter("field_name is null").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # Proven bound: at most 1/share keys a field and partition.
+    named = scratch.put(local.filter("field_name is not null").select("field_name", "key_id").distinct())
+    keyed = longs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("key_id")) for f in fields])).alias("k")).select("k.*")
+    key = ["field_name", "key_id"]
+    runs = key_offsets(partition_counts(keyed.join(small_or_plain(scratch, named), key, "left_semi"), key), key)
+    last = run_states(runs, key, chunk_rows).groupBy(*key).agg(F.max(F.struct("_chunk", "_rows")).alias("_last"))
+    return last.select(*key, (F.col("_last._chunk") * chunk_rows + F.col("_last._rows")).alias("n_rows")).filter(F.col("n_rows") * 1_000_000 >= F.lit(all_rows * per_million))
 
 
 def numbered(df: DataFrame, key: str, order: Sequence[str], scratch: Scratch, partitions: int | None = None) -> DataFrame:
@@ -75,10 +122,8 @@ def numbered(df: DataFrame, key: str, order: Sequence[str], scratch: Scratch, pa
         .select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"))
     )
     placed = scratch.put(placed)
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").select(*cols, (F.col("_start") + F.col("_pos")).alias("_row"))
+    starts = key_offsets(partition_counts(placed)).select("_part", "_from")
+    return placed.join(F.broadcast(starts), "_part").select(*cols, (F.col("_from") + F.col("_pos")).alias("_row"))
 
 
 def chunk_states(rows: DataFrame, key: str, partner: str, value: str, chunk_rows: int) -> DataFrame:

@@ -156,6 +156,14 @@ def test_skewed_keys_are_exact(spark):
     heavy = {(x.field_name, x.key_id, x.n_rows) for x in skew.heavy_keys(r, ["user_id", "work_id"], 0.5).collect()}
     assert heavy == {("work_id", 1, n[1])}
     assert skew.heavy_keys(ratings(spark, []), ["user_id", "work_id"]).count() == 0
+    many = spark.range(0, 20_000, 1, 7).select(F.when(F.col("id") % 3 == 0, 5).when(F.col("id") < 300, 9).otherwise(F.col("id")).cast("int").alias("user_id"), F.when(F.col("id") % 50 != 0, F.lit(None)).otherwise(2).cast("long").alias("work_id"))
+    for chunk in (1, 7, 64, 10**6):  # totals are where the last chunk ends, whatever the chunks
+        got = {tuple(x) for x in skew.heavy_keys(many, ["user_id", "work_id"], 0.01, chunk).collect()}
+        assert got == {("user_id", 5, 6667), ("user_id", 9, 200), ("work_id", 2, 400)}
+    runs = spark.createDataFrame([("a", 0, 5), ("a", 2, 4), ("b", 1, 3)], "k string, _part int, _n long")
+    placed = skew.key_offsets(runs, ["k"])
+    assert {tuple(x) for x in placed.select("k", "_part", "_from").collect()} == {("a", 0, 0), ("a", 2, 5), ("b", 1, 0)}
+    assert {tuple(x) for x in skew.run_states(placed, ["k"], 3).collect()} == {("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("b", 0, 3)}
     assert skew.per_key_results(ratings(spark, []), "work_id", "user_id", "rating").count() == 0
 
 
