@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.numeric import half_up
 from folioforge.functions.text import matches_any, series_number, title_key
-from folioforge.session import Scratch
+from folioforge.session import Scratch, small_or_plain
 
 #: Title patterns of collections, non-books and adaptations.
 COLLECTION_PATTERNS = (
@@ -204,25 +204,38 @@ def user_filter_report(ratings: DataFrame, max_sd: float = 0.2, min_n: int = 10,
 def kcore(ratings: DataFrame, min_user: int, min_work: int) -> tuple[DataFrame, int]:
     """Rows left when users below ``min_user`` and works below ``min_work`` ratings are removed until none is.
 
-    Only key counts are shuffled in a pass. The kept keys of a pass are written to the shared folder, which cuts the
-    lineage; ratings themselves are joined once at the end. Gives (rows, passes).
+    Pairs are written twice: as they come and after the first pass, which removes most. From then on only counts move:
+    a pass reads the pairs of the keys that just fell and takes them from the counts on the other side, which loses
+    nothing, as a key falls once and the counts of fallen keys no longer matter. Every pass but the last lets a key
+    fall, so the passes end. Gives (rows, passes).
     """
     scratch = Scratch(ratings.sparkSession, "kcore")
-    now = scratch.put(ratings.select("user_id", "work_id"))
-    n, passes = now.count(), 0
-    while True:  # every pass but the last removes a row
+    n = F.count(F.lit(1)).alias("c")
+    pairs = scratch.put(ratings.select("user_id", "work_id"))
+    users = pairs.groupBy("user_id").agg(n).filter(F.col("c") >= min_user).select("user_id")
+    kept = pairs.join(users, "user_id", "left_semi")
+    works = kept.groupBy("work_id").agg(n).filter(F.col("c") >= min_work).select("work_id")
+    alive = scratch.put(kept.join(works, "work_id", "left_semi").select("user_id", "work_id"))
+    scratch.drop(pairs)
+    least = {"user_id": min_user, "work_id": min_work}
+    counts = {k: scratch.put(alive.groupBy(k).agg(n)) for k in least}
+    passes, quiet, side, other = 1, 0, "user_id", "work_id"
+    while quiet < 2:
         passes += 1
-        users = now.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_user).select("user_id")
-        kept = now.join(users, "user_id", "left_semi")
-        works = kept.groupBy("work_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_work).select("work_id")
-        new = scratch.put(kept.join(works, "work_id", "left_semi").select("user_id", "work_id"))
-        left = new.count()
-        if left == n:
-            break
-        scratch.drop(now)
-        now, n = new, left
-    keep_users, keep_works = now.select("user_id").distinct(), now.select("work_id").distinct()
-    core = ratings.join(keep_users, "user_id", "left_semi").join(keep_works, "work_id", "left_semi")
+        fallen = scratch.put(counts[side].filter(F.col("c") < least[side]).select(side))
+        if fallen.isEmpty():
+            quiet += 1
+        else:
+            quiet = 0
+            gone = alive.join(small_or_plain(scratch, fallen), side, "left_semi").groupBy(other).agg(F.count(F.lit(1)).alias("d"))
+            left = scratch.put(counts[side].filter(F.col("c") >= least[side]))
+            less = scratch.put(counts[other].join(gone, other, "left").select(other, (F.col("c") - F.coalesce("d", F.lit(0))).alias("c")))
+            for k, new in ((side, left), (other, less)):
+                scratch.drop(counts[k])
+                counts[k] = new
+        scratch.drop(fallen)
+        side, other = other, side
+    core = ratings.join(counts["user_id"].select("user_id"), "user_id", "left_semi").join(counts["work_id"].select("work_id"), "work_id", "left_semi")
     return core.select(*ratings.columns), passes
 
 

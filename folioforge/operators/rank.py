@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.numeric import gain, half_up
+from folioforge.operators.skew import numbered
+from folioforge.session import Scratch, small_or_plain
 
 
 def top_k(scores: DataFrame, k: int, exclude: DataFrame | None = None, user: str = "user_id", item: str = "work_id") -> DataFrame:
@@ -22,6 +24,32 @@ def top_k(scores: DataFrame, k: int, exclude: DataFrame | None = None, user: str
     return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def numbered_ranking(scores: DataFrame, scratch: Scratch, item: str = "work_id") -> DataFrame:
+    """(place, item, score), written once: items by falling score, ties to the smaller item, from 1. Numbered over range
+    partitions, never in one task."""
+    ordered = numbered(scores.select(item, "score", (-F.col("score")).alias("_key")), "_key", [item], scratch)
+    return scratch.put(ordered.select((F.col("_row") + 1).alias("place"), item, "score"))
+
+
+def top_unread(read: DataFrame, ranking: DataFrame, k: int, scratch: Scratch, user: str = "user_id", item: str = "work_id") -> DataFrame:
+    """(user, item, score, rank): the first k items of one ``numbered_ranking`` that a user has not read, for every user
+    of ``read``.
+
+    The places a user has read cut the ranking into unread stretches; only the stretches, or parts of them, up to the
+    k-th unread place are opened, so k rows a user meet the ranking, however much the user has read.
+    """
+    places = small_or_plain(scratch, ranking.select(item, "place"), ranking)
+    seen = read.select(user, item).join(places, item).select(user, "place")
+    marks = seen.union(read.select(user, F.lit(0).cast("long"))).distinct()
+    w = Window.partitionBy(user).orderBy("place")
+    unread = F.col("place") - F.row_number().over(w) + 1  # unread places up to this mark
+    cut = marks.select(user, "place", unread.alias("before"), F.lead("place").over(w).alias("next")).filter(F.col("before") < k)
+    last = F.least(F.col("place") + k - F.col("before"), F.coalesce(F.col("next") - 1, F.lit(1 << 62)))
+    opened = cut.filter(last > F.col("place")).select(user, "place", "before", F.explode(F.sequence(F.col("place") + 1, last)).alias("at"))
+    rows = opened.select(user, F.col("at").alias("place"), (F.col("before") + F.col("at") - F.col("place")).alias("rank"))
+    return rows.join(small_or_plain(scratch, ranking), "place").select(user, item, "score", "rank")
+
+
 def z_scores(scores: DataFrame, col: str, out: str, user: str = "user_id") -> DataFrame:
     """Population z-score over a user's candidates; the deviation is 1e-9 at least."""
     w = Window.partitionBy(user)

@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.session import Scratch
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables that several queries start from, by session, name and state of the files they come from.
+_SHARED: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """Tables of one data folder, read on first use: ``t.ratings``."""
 
@@ -20,6 +26,24 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _state(self, name: str) -> tuple:
+        """Paths, lengths and times of a table's files."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        out = []
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(out))
+
+    def shared(self, label: str, sources: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written once to the shared folder for all queries of the session while the files of its
+        sources stay as they are."""
+        mark = (self.spark.sparkContext.applicationId, label, tuple(self._state(s) for s in sources))
+        if mark not in _SHARED:
+            _SHARED[mark] = Scratch(self.spark, label).put(make())
+        return _SHARED[mark]
+
 
 class Registry:
     def __init__(self) -> None:

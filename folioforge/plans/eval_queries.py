@@ -11,6 +11,7 @@ from folioforge.operators import clean, rank
 from folioforge.plans.base import Registry, Tables
 from folioforge.plans.clean_queries import CORE, RW, core, kcore_sql, work_level
 from folioforge.plans.rank_queries import POP, SPLIT, TOPPOP, parts, sql_draw, top_popular
+from folioforge.session import Scratch
 
 R = Registry()
 
@@ -50,7 +51,7 @@ def _(t: Tables) -> DataFrame:
 @R.add("x17_hits", f"with {TOPPOP} select h.user_id, count(*) as n_hidden, count(t.work_id) as hits, count(t.work_id) filter (floor(h.rating + 0.5) >= 5) as liked from hid h left join top t on t.user_id = h.user_id and t.work_id = h.work_id group by 1")
 def _(t: Tables) -> DataFrame:
     train, inp, hid = parts(t)
-    top = top_popular(inp, pop.popularity(train)).select("user_id", "work_id", F.lit(1).alias("hit"))
+    top = top_popular(t, inp, pop.popularity(train)).select("user_id", "work_id", F.lit(1).alias("hit"))
     j = hid.join(top, ["user_id", "work_id"], "left")
     return j.groupBy("user_id").agg(rows_().alias("n_hidden"), F.count("hit").alias("hits"), F.count_if(F.col("hit").isNotNull() & (N.half_up(F.col("rating")) >= 5)).alias("liked"))
 
@@ -58,8 +59,13 @@ def _(t: Tables) -> DataFrame:
 @R.add("x21_lifted", f"""with {SPLIT}, {POP}, p as (select work_id, row_number() over (order by n desc, work_id) as by_count, row_number() over (order by bayes desc, work_id) as by_taste from pop)
 select work_id, by_count, by_taste, by_taste < by_count as lifted, by_taste <= 20 as bold from p""")
 def _(t: Tables) -> DataFrame:
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "work_id")).cast("bigint")
-    p = pop.popularity(parts(t)[0]).select("work_id", place("n").alias("by_count"), place("bayes").alias("by_taste"))
+    every = pop.popularity(parts(t)[0])
+
+    def place(by: str, name: str) -> DataFrame:
+        placed = rank.numbered_ranking(every.select("work_id", F.col(by).cast("double").alias("score")), Scratch(t.spark, "lifted"))
+        return placed.select("work_id", F.col("place").alias(name))
+
+    p = place("n", "by_count").join(place("bayes", "by_taste"), "work_id")
     return p.select("*", (F.col("by_taste") < F.col("by_count")).alias("lifted"), (F.col("by_taste") <= 20).alias("bold"))
 
 

@@ -10,8 +10,10 @@ from folioforge.functions import text as T
 from folioforge.models import chance, explain, factors, knn, links
 from folioforge.models import popularity as pop
 from folioforge.operators import clean, listing, rank, series, split
+from folioforge.plans import title_sql as S
 from folioforge.plans.base import Registry, Tables
 from folioforge.plans.clean_queries import CATALOG, CORE, KEY, PRIMARY, SERIES_NO, core, work_level
+from folioforge.session import Scratch
 
 R = Registry()
 HELD = {"test": 0.1, "val": 0.1}
@@ -43,9 +45,12 @@ top as materialized (select user_id, work_id, score, row_number() over (partitio
 
 
 def marked(t: Tables) -> DataFrame:
-    c = core(t).select("user_id", "work_id", "rating")
-    readers = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return split.hide(c).join(split.assign_groups(readers, "user_id", HELD), "user_id")
+    def make() -> DataFrame:
+        c = core(t).select("user_id", "work_id", "rating")
+        readers = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+        return split.hide(c).join(split.assign_groups(readers, "user_id", HELD), "user_id")
+
+    return t.shared("marked", ("ratings",), make)
 
 
 def parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,18 +59,21 @@ def parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return m.filter("grp = 'train'").select(*cols), m.filter("grp = 'test' and not hidden").select(*cols), m.filter("grp = 'test' and hidden").select(*cols)
 
 
-def top_popular(inputs: DataFrame, popularity: DataFrame, k: int = 20) -> DataFrame:
-    """First k unread works of each reader by popularity, without crossing readers and works: a reader with n read
-    works needs the first k + n places only, which join by place."""
-    ranked = popularity.withColumn("r", F.row_number().over(Window.orderBy(F.desc("bayes_log"), "work_id"))).select("r", "work_id", F.col("bayes_log").alias("score"))
-    need = inputs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.explode(F.sequence(F.lit(1), F.lit(k).cast("int") + F.col("n").cast("int"))).alias("r"))
-    return rank.top_k(need.join(ranked, "r").select("user_id", "work_id", "score"), k, inputs)
+def ranking(t: Tables, popularity: DataFrame) -> tuple[DataFrame, Scratch]:
+    scratch = Scratch(t.spark, "ranking")
+    return rank.numbered_ranking(popularity.select("work_id", F.col("bayes_log").alias("score")), scratch), scratch
+
+
+def top_popular(t: Tables, inputs: DataFrame, popularity: DataFrame, k: int = 20) -> DataFrame:
+    """(user_id, work_id, score, rank): the first k unread works of each reader by popularity."""
+    placed, scratch = ranking(t, popularity)
+    return rank.top_unread(inputs, placed, k, scratch)
 
 
 def flagship(t: Tables) -> DataFrame:
     """Twenty unread works for every reader of the core by smoothed popularity."""
     c = core(t)
-    return top_popular(c, pop.popularity(c)).select("user_id", "work_id", "rank", "score")
+    return top_popular(t, c, pop.popularity(c)).select("user_id", "work_id", "rank", "score")
 
 
 @R.add("k03_unread_popular", f"""with {CORE}, train as (select * from core), {POP}, ranked as materialized (select work_id, row_number() over (order by bayes_log desc, work_id) as r, bayes_log as score from pop)
@@ -168,7 +176,7 @@ metrics as materialized (select user_id, case when idcg > 0 then round(coalesce(
 
 def metrics(t: Tables) -> DataFrame:
     train, inp, hid = parts(t)
-    return rank.list_metrics(top_popular(inp, pop.popularity(train)), hid)
+    return rank.list_metrics(top_popular(t, inp, pop.popularity(train)), hid)
 
 
 @R.add("m22_list_metrics", f"with {METRICS} select * from metrics")
@@ -186,7 +194,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
     p = pop.popularity(train)
-    return top_popular(inp, p).agg(F.count_distinct("work_id").alias("n_shown")).crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).select("n_shown", F.round(F.col("n_shown") / F.col("n"), 9).alias("coverage"))
+    return top_popular(t, inp, p).agg(F.count_distinct("work_id").alias("n_shown")).crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).select("n_shown", F.round(F.col("n_shown") / F.col("n"), 9).alias("coverage"))
 
 
 @R.add("a25_bootstrap")
@@ -235,7 +243,7 @@ select user_id, work_id, author_id, row_number() over (partition by user_id orde
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
     a = clean.primary_authors(t.works, t.editions, t.authors)
-    return rank.author_cap(top_popular(inp, pop.popularity(train)).join(a, "work_id", "left"), 10).select("user_id", "work_id", "author_id", "place")
+    return rank.author_cap(top_popular(t, inp, pop.popularity(train)).join(a, "work_id", "left"), 10).select("user_id", "work_id", "author_id", "place")
 
 
 def book_rows(t: Tables) -> DataFrame:
@@ -244,17 +252,57 @@ def book_rows(t: Tables) -> DataFrame:
     every = t.editions.filter("work_id is not null").select("work_id", F.explode("author_ids").alias("a")).groupBy("work_id").agg(F.array_sort(F.collect_set("a")).alias("authors"))
     later = T.is_later_volume(F.col("title")) | (F.col("no").try_cast("double") >= 2)
     rows = c.withColumn("no", T.series_number(F.col("best_edition_title")))
+    names = F.filter(F.array(*[T.name_words(F.col(c)) for c in ("title", "original_title", "best_edition_title")]), lambda n: n.isNotNull())
     return rows.join(a, "work_id", "left").join(every, "work_id", "left").select(
-        "work_id", T.title_key(F.col("title")).alias("key"), "no", F.col("is_collection").alias("collection"), F.coalesce(later, F.lit(False)).alias("later"), "author_id", "authors", T.name_words(F.col("title")).alias("words")
+        "work_id", T.title_key(F.col("title")).alias("key"), "no", F.col("is_collection").alias("collection"), F.coalesce(later, F.lit(False)).alias("later"), "author_id", "authors", names.alias("names")
     )
 
 
-@R.add("m33_list_rules")
+def books_and_twins(t: Tables) -> tuple[DataFrame, DataFrame]:
+    sources = ("works", "editions", "authors")
+    books = t.shared("books", sources, lambda: book_rows(t))
+    return books, t.shared("same-works", sources, lambda: listing.same_works(books, Scratch(t.spark, "same")))
+
+
+#: Books and the relation of works that are one work, stated as a condition on all pairs of works with a main author.
+BOOKS = f"""{CATALOG}, {PRIMARY}, everyone as materialized (select work_id, list_distinct(flatten(list(author_ids))) as authors from editions where work_id is not null and author_ids is not null group by 1),
+bk as materialized (select c.work_id, p.author_id, list_distinct(list_append(coalesce(e.authors, []), p.author_id)) as people, {KEY.format(c='c.title')} as key, {SERIES_NO.format(c='c.best_edition_title')} as no, c.is_collection as coll,
+  {S.later_volume('c.title')} or coalesce(try_cast({SERIES_NO.format(c='c.best_edition_title')} as double) >= 2, false) as later,
+  list_filter([{S.name_words('c.title')}, {S.name_words('c.original_title')}, {S.name_words('c.best_edition_title')}], lambda n: n is not null and len(n) > 0) as names
+  from catalog c left join prim p using (work_id) left join everyone e using (work_id)),
+twins as materialized (select a.work_id, b.work_id as other_id from bk a join bk b on a.work_id <> b.work_id and a.author_id is not null and b.author_id is not null
+  and (list_contains(b.people, a.author_id) or list_contains(a.people, b.author_id)) and (a.no = b.no or a.no = '' or b.no = '' or a.coll or b.coll)
+  and ((a.key <> '' and b.key <> '' and (a.key = b.key or (b.coll and contains(' ' || b.key || ' ', ' ' || a.key || ' ')) or (a.coll and contains(' ' || a.key || ' ', ' ' || b.key || ' '))))
+    or len(list_filter(a.names, lambda n: len(list_filter(b.names, lambda m: list_has_all(m, n) or list_has_all(n, m))) > 0)) > 0))"""
+
+
+@R.add("m33_list_rules", f"""with recursive {SPLIT}, {POP}, {BOOKS},
+asked as materialized (select distinct user_id from inp),
+cand as materialized (select a.user_id, p.work_id, row_number() over (partition by a.user_id order by p.bayes_log desc, p.work_id) as rank
+  from asked a, pop p where not exists (select 1 from inp x where x.user_id = a.user_id and x.work_id = p.work_id)),
+old as materialized (select distinct i.user_id, w.other_id as work_id from inp i join twins w using (work_id)),
+why as materialized (select c.user_id, c.work_id, c.rank, b.author_id, case when o.work_id is not null then 'rated already' when b.coll then 'collection' when b.later then 'later volume' end as why,
+  coalesce(w.others, []) as others from cand c left join bk b using (work_id) left join old o on o.user_id = c.user_id and o.work_id = c.work_id
+  left join (select work_id, list(other_id) as others from twins group by 1) w on w.work_id = c.work_id),
+fold(user_id, rank, work_id, removed, shown, people) as (
+  select user_id, 0::bigint, null::bigint, 'start', []::bigint[], []::bigint[] from asked
+  union all
+  select f.user_id, c.rank, c.work_id, r.removed, case when r.removed is null then list_append(f.shown, c.work_id) else f.shown end,
+         case when r.removed is null and c.author_id is not null then list_append(f.people, c.author_id) else f.people end
+  from fold f join why c on c.user_id = f.user_id and c.rank = f.rank + 1,
+       lateral (select case when c.why is not null then c.why when list_has_any(f.shown, c.others) then 'same work' when len(list_filter(f.people, lambda p: p = c.author_id)) >= 2 then 'author limit' end as removed) r
+  where len(f.shown) < 20)
+select user_id, work_id, case when removed is null then len(shown) end as place, removed from fold where rank > 0""")
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
-    books = book_rows(t)
-    cand = top_popular(inp, pop.popularity(train), 40).select("user_id", "work_id", "rank").join(books, "work_id")
-    return listing.pick_lists(cand, inp.select("user_id", "work_id").join(books, "work_id"), 20)
+    books, same = books_and_twins(t)
+    placed, scratch = ranking(t, pop.popularity(train))
+
+    def order(readers: DataFrame | None, n: int) -> DataFrame:
+        read = inp if readers is None else inp.join(readers, "user_id", "left_semi")
+        return rank.top_unread(read, placed, n, scratch).select("user_id", "work_id", "rank")
+
+    return listing.pick_top(order, inp, books, same, 20, scratch)
 
 
 @R.add("m34_sections", f"""with {TOPPOP}, s as (select t.user_id, t.work_id, case when w.publication_year >= 2015 then 'new' when w.media_type = 'book' then 'book' else 'other' end as section, t.rank from top t join works w using (work_id))
@@ -262,14 +310,12 @@ select user_id, section, work_id, row_number() over (partition by user_id, secti
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
     w = t.works.select("work_id", F.when(F.col("publication_year") >= 2015, "new").when(F.col("media_type") == "book", "book").otherwise("other").alias("section"))
-    s = top_popular(inp, pop.popularity(train)).join(w, "work_id")
+    s = top_popular(t, inp, pop.popularity(train)).join(w, "work_id")
     place = F.row_number().over(Window.partitionBy("user_id", "section").orderBy("rank")).cast("bigint")
     return s.withColumn("place", place).filter("place <= 5").select("user_id", "section", "work_id", "place")
 
 
-_SERIES = r"""sb as materialized (select distinct work_id, lower(regexp_replace(regexp_replace(p, '^([\s,;:&-]|and\b|part\b)+', '', 'i'), '[\s,;:&-]+$', '')) as series from (
-  select work_id, unnest(regexp_extract_all(g, '([^#]*)#\s*[\d.]+(\s*[-–]\s*[\d.]+)?', 1)) as p from (select work_id, unnest(regexp_extract_all(coalesce(best_edition_title, ''), '\(([^()]*#[^()]*)\)', 1)) as g from works))
-  where regexp_matches(lower(p), '\p{L}'))"""
+_SERIES = f"sb as materialized ({S.series_rows('works', 'work_id', 'best_edition_title')})"
 
 
 @R.add("j24_exclusion", f"with {SPLIT}, {_SERIES} select user_id, work_id from inp union select i.user_id, b.work_id from inp i join sb a using (work_id) join sb b on b.series = a.series")
@@ -284,23 +330,15 @@ def _(t: Tables) -> DataFrame:
     return series.without_started(hid, ex).select("user_id", "work_id", "rating")
 
 
-@R.add("j25_same_work", f"""with {CATALOG}, {PRIMARY}, b as materialized (select c.work_id, p.author_id, {KEY.format(c='c.title')} as key, {SERIES_NO.format(c='c.best_edition_title')} as no from catalog c join prim p using (work_id))
-select x.work_id as a, y.work_id as b from b x join b y on x.author_id = y.author_id and x.key = y.key and x.work_id < y.work_id where x.key <> '' and (x.no = y.no or x.no = '' or y.no = '')""")
+@R.add("j25_same_work", f"with {BOOKS} select distinct work_id, other_id from twins")
 def _(t: Tables) -> DataFrame:
-    b = book_rows(t).filter("author_id is not null and key <> ''").select("work_id", "author_id", "key", "no")
-    y = b.select(F.col("work_id").alias("b"), "author_id", "key", F.col("no").alias("no_b"))
-    return b.join(y, ["author_id", "key"]).filter("work_id < b and (no = no_b or no = '' or no_b = '')").select(F.col("work_id").alias("a"), "b")
+    return books_and_twins(t)[1]
 
 
-@R.add("x20_rated_already", f"""with {PRIMARY}, {TOPPOP}, b as (select w.work_id, p.author_id, {KEY.format(c='w.title')} as key from works w join prim p using (work_id) where w.title is not null)
-select distinct t.user_id, t.work_id from top t join b on b.work_id = t.work_id join inp i on i.user_id = t.user_id join b c on c.work_id = i.work_id and c.author_id = b.author_id and c.key = b.key where b.key <> ''""")
+@R.add("x20_rated_already", f"with {TOPPOP}, {BOOKS} select distinct t.user_id, t.work_id from top t join twins w on w.work_id = t.work_id join inp i on i.user_id = t.user_id and i.work_id = w.other_id")
 def _(t: Tables) -> DataFrame:
     train, inp, _ = parts(t)
-    a = clean.primary_authors(t.works, t.editions, t.authors)
-    b = t.works.filter("title is not null").select("work_id", T.title_key(F.col("title")).alias("key")).filter("key <> ''").join(a, "work_id")
-    top = top_popular(inp, pop.popularity(train)).select("user_id", "work_id").join(b, "work_id")
-    read = inp.select("user_id", F.col("work_id").alias("read_id")).join(b.withColumnRenamed("work_id", "read_id"), "read_id")
-    return top.join(read, ["user_id", "author_id", "key"]).select("user_id", "work_id").distinct()
+    return listing.rated_already(top_popular(t, inp, pop.popularity(train)), inp, books_and_twins(t)[1])
 
 
 @R.add("j26_paired", f"""with {METRICS}, rnd as (select user_id, round({sql_draw(3, 'cast(user_id as varchar)')} * 0.1, 6) as recall from metrics)
@@ -332,7 +370,7 @@ def _(t: Tables) -> DataFrame:
 @R.add("m29_rank_bands", f"with {SPLIT}, {POP}, r as (select work_id, row_number() over (order by n desc, work_id) as r from pop) select case when r <= 100 then '1-100' when r <= 300 then '101-300' when r is null then 'unseen' else '301+' end as band, count(*) as n_hidden, round(count(*) / (select count(*) from hid), 6) as share from hid left join r using (work_id) group by 1")
 def _(t: Tables) -> DataFrame:
     train, _, hid = parts(t)
-    r = pop.popularity(train).select("work_id", F.row_number().over(Window.orderBy(F.desc("n"), "work_id")).alias("r"))
+    r = rank.numbered_ranking(pop.popularity(train).select("work_id", F.col("n").alias("score")), Scratch(t.spark, "bands")).select("work_id", F.col("place").alias("r"))
     band = F.when(F.col("r") <= 100, "1-100").when(F.col("r") <= 300, "101-300").when(F.col("r").isNull(), "unseen").otherwise("301+")
     total = hid.agg(F.count(F.lit(1)).alias("all"))
     return hid.join(r, "work_id", "left").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n_hidden")).crossJoin(F.broadcast(total)).select("band", "n_hidden", F.round(F.col("n_hidden") / F.col("all"), 6).alias("share"))

@@ -255,14 +255,74 @@ def test_logistic_recovers_coefficients(spark):
     assert abs(coef[0] - 0.5) < 0.15 and abs(coef[1] - 1.5) < 0.2
 
 
-def test_list_rules(spark):
-    schema = "user_id long, work_id long, rank int, key string, no string, collection boolean, later boolean, author_id long, authors array<long>, words array<string>"
-    cand = [(1, 1, 1, "a", "", False, False, 5, [5], ["a"]), (1, 2, 2, "a", "", False, False, 5, [5], ["a"]), (1, 3, 3, "b", "", True, False, 6, [6], ["b"]),
-            (1, 4, 4, "c", "", False, True, 7, [7], ["c"]), (1, 5, 5, "d", "", False, False, 5, [5], ["d"]), (1, 6, 6, "e", "", False, False, 8, [8], ["e"])]
-    c = spark.createDataFrame(cand, schema)
-    rated = spark.createDataFrame([(1, 10, 1, "e", "", False, False, 8, [8], ["e"])], schema)
-    got = {r.work_id: r.removed for r in listing.pick_lists(c, rated, 5).collect()}
-    assert got == {1: None, 2: "same work", 3: "collection", 4: "later volume", 5: "author limit", 6: "rated already"}
+BOOK = "work_id long, author_id long, authors array<long>, key string, no string, collection boolean, later boolean, names array<array<string>>"
+
+
+def test_same_works(spark):
+    rows = [
+        (1, 5, [5], "red fox", "", False, False, [["fox", "red"]]), (2, 5, None, "red fox", "", False, False, [["fox", "red"]]),  # equal keys
+        (3, 5, [5], "the red fox and more", "", True, False, [["zebra"]]),  # a collection that holds the key
+        (4, 6, [6, 5], "a fox so red", "", False, False, [["fox", "red", "so"]]),  # words contained, co-author
+        (5, 7, [7], "red fox", "", False, False, [["fox", "red"]]),  # another author
+        (6, 5, [5], "blue owl", "1", False, False, [["blue", "owl"]]), (7, 5, [5], "blue owl", "2", False, False, [["blue", "owl"]]),  # other volumes
+        (8, None, [5], "red fox", "", False, False, [["fox", "red"]]), (9, 5, [5], "", "", False, False, [[]]), (10, 5, [5], None, None, None, None, None),
+    ]
+    same = listing.same_works(spark.createDataFrame(rows, BOOK), Scratch(spark, "t"))
+    assert {tuple(r) for r in same.collect() if r[0] < r[1]} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
+
+
+def test_list_rules_and_the_pool(spark):
+    rows = [(1, 5, False, False), (2, 5, False, False), (3, 6, True, False), (4, 7, False, True), (5, 5, False, False), (6, 8, False, False), *((i, None, None, None) for i in range(7, 40))]
+    books = spark.createDataFrame(rows, "work_id long, author_id long, collection boolean, later boolean")
+    same = spark.createDataFrame([(1, 2), (2, 1), (6, 90), (90, 6)], "work_id long, other_id long")
+    rated = spark.createDataFrame([(1, 90)], "user_id long, work_id long")
+    every = spark.createDataFrame([(u, w, w) for u in (1, 2) for w in range(1, 40)], "user_id long, work_id long, rank long")
+    got = {(r.user_id, r.work_id): (r.place, r.removed) for r in listing.pick_lists(every.filter("user_id = 1"), rated, books, same, 5).collect()}
+    want = {1: (1, None), 2: (None, "same work"), 3: (None, "collection"), 4: (None, "later volume"), 5: (None, "author limit"), 6: (None, "rated already"), 7: (2, None), 8: (3, None), 9: (4, None), 10: (5, None)}
+    assert got == {(1, w): v for w, v in want.items()}
+
+    def order(readers, n):
+        c = every.filter(F.col("rank") <= n)
+        return c if readers is None else c.join(readers, "user_id", "left_semi")
+
+    for pool in (1, 3, 100):  # a short list runs again over a larger pool
+        again = listing.pick_top(order, rated, books, same, 5, Scratch(spark, "t"), pool)
+        assert {(r.user_id, r.work_id): (r.place, r.removed) for r in again.filter("user_id = 1").collect()} == got
+        assert again.filter("user_id = 2 and place is not null").count() == 5
+    assert listing.pick_top(order, rated, books, same, 500, Scratch(spark, "t"), 4).filter("user_id = 2 and place is not null").count() == 36
+
+
+def test_first_unread_places(spark):
+    import random
+
+    rnd = random.Random(4)
+    scores = [(w, float(rnd.randrange(6))) for w in range(30)]
+    read = [(u, rnd.randrange(40)) for u in range(25) for _ in range(rnd.choice((1, 5, 60)))] + [(99, w) for w in range(30)] + [(98, 1000)]
+    best = [w for w, _ in sorted(scores, key=lambda x: (-x[1], x[0]))]
+    scratch = Scratch(spark, "t")
+    placed = rank.numbered_ranking(spark.createDataFrame(scores, "work_id long, score double"), scratch)
+    got = rank.top_unread(spark.createDataFrame(read, "user_id long, work_id long"), placed, 7, scratch).collect()
+    mine = {u: [w for w in best if (u, w) not in set(read)][:7] for u in {u for u, _ in read}}
+    assert sorted((r.user_id, r.rank, r.work_id) for r in got) == sorted((u, i + 1, w) for u, ws in mine.items() for i, w in enumerate(ws))
+
+
+def test_kcore_equals_peeling(spark):
+    import random
+
+    rnd = random.Random(8)
+    for _ in range(3):
+        rows = {(rnd.randrange(60), rnd.randrange(40)) for _ in range(260)} | {(u, w) for u in range(100, 130) for w in (u, u + 1)}
+        left = set(rows)
+        while True:
+            users = {u for u, _ in left if sum(x == u for x, _ in left) >= 4}
+            keep = {(u, w) for u, w in left if u in users}
+            works = {w for _, w in keep if sum(x == w for _, x in keep) >= 5}
+            keep = {(u, w) for u, w in keep if w in works}
+            if keep == left:
+                break
+            left = keep
+        core, _ = clean.kcore(ratings(spark, [(u, w, 3.0) for u, w in rows]), 4, 5)
+        assert {(r.user_id, r.work_id) for r in core.collect()} == left
 
 
 def test_sources_round_trip(spark, tmp_path):
