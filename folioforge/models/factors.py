@@ -131,14 +131,19 @@ def fit_implicit(ratings: DataFrame, factors: int = 8, alpha: float = 1.0, reg:
 
 
 def gram_of(items: DataFrame, factors: int) -> np.ndarray:
-    """Y'Y, a factors x factors matrix, summed in Spark."""
-    cells = [F.sum(F.col("theta")[i] * F.col("theta")[j]).alias(f"c{i}_{j}") for i in range(factors) for j in range(i, factors)]
-    row = items.agg(*cells).first()
-    g = np.zeros((factors, factors))
-    for i in range(factors):
-        for j in range(i, factors):
-            g[i, j] = g[j, i] = row[f"c{i}_{j}"] or 0.0
-    return g
+    """Y'Y, a factors x factors matrix: each task adds up its own items, the tasks' cells are added in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((factors, factors))
+        for batch in batches:
+            y = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(-1, factors)
+            g += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], names=["cell", "v"])
+
+    cells = items.select("theta").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+    g = np.zeros(factors * factors)
+    g[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+    return g.reshape(factors, factors)
 
 
 def _implicit_side(r: DataFrame, other: DataFrame, solve: str, known: str, factors: int, alpha: float, reg: float) -> DataFrame:

@@ -1,22 +1,18 @@
-"""Closed-form item links.
+"""Closed-form item links: the Gram matrix, its inverse and the links are tables of blocks throughout.
 
-The Gram matrix and the cross products are Spark aggregates; the one dense inverse has no distributed form and is
-done on the driver over the ``n_top`` most rated works, a parameter that bounds its size. Links go back as a frame.
+The driver holds no matrix; it sees one number of each of the ``n_top`` most rated works (their diagonal cells).
 """
 
 from __future__ import annotations
 
-import os
-import subprocess
-import sys
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.numeric import half_up
-from folioforge.session import Scratch
+from folioforge.models import blocks
+from folioforge.operators.gram import coded_products, dense_items, item_products
+from folioforge.session import Scratch, small_or_plain
 
 #: Weights of one to five stars as input of the links.
 STAR_INPUT = (-2.0, -1.0, 0.0, 1.0, 2.0)
@@ -42,125 +38,98 @@ def top_items(ratings: DataFrame, n_top: int) -> DataFrame:
     return ratings.groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "work_id").limit(n_top)
 
 
-def gram(left: DataFrame, right: DataFrame, value: str = "x") -> DataFrame:
-    """(i, j, g): sum over readers of left value times right value, for works both have."""
-    a = left.select("user_id", F.col("work_id").alias("i"), F.col(value).alias("a"))
-    b = right.select("user_id", F.col("work_id").alias("j"), F.col(value).alias("b"))
-    return a.join(b, "user_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
-
-
 def coread(ratings: DataFrame, least: int = 1) -> DataFrame:
     """(i, j, n), i < j: readers both works share."""
-    a = ratings.select("user_id", F.col("work_id").alias("i"))
-    b = ratings.select("user_id", F.col("work_id").alias("j"))
-    return a.join(b, "user_id").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-
-
-def _dense(g: DataFrame, ids: np.ndarray, rows: int = 4_000_000) -> np.ndarray:
-    """Matrix of (i, j, g) over the sorted ids; it travels in parts of about ``rows`` rows."""
-    scratch = Scratch(g.sparkSession, "gram")
-    g = scratch.put(g)
-    parts = -(-g.count() // rows)
-    m = np.zeros((len(ids), len(ids)))
-    for k in range(parts):
-        table = g.filter(F.pmod(F.xxhash64("i", "j"), F.lit(parts)) == k).toArrow()
-        m[np.searchsorted(ids, table.column("i").to_numpy()), np.searchsorted(ids, table.column("j").to_numpy())] = table.column("g").to_numpy()
-    scratch.drop(g)
-    return m
-
-
-def invert(a: np.ndarray, block: int = 2000) -> np.ndarray:
-    """Inverse of a symmetric positive matrix in its own place, by blocks; besides it two strips of a block are held."""
-    n = len(a)
-    for s in range(0, n, block):
-        e = min(n, s + block)
-        p = np.linalg.inv(a[s:e, s:e])
-        row = p @ a[s:e]
-        row[:, s:e] = p
-        col = a[:, s:e].copy()
-        for i in range(0, n, block):
-            if i != s:
-                a[i : i + block, s:e] = 0.0
-                a[i : i + block] -= col[i : i + block] @ row
-        a[s:e] = row
-    return a
-
-
-def _apart(what: str, *given: np.ndarray) -> np.ndarray:
-    """Value of ``what`` over the arrays 0.npy, 1.npy, .. in the folder d, in a process of its own with one BLAS thread:
-    a threaded BLAS inside the process that also runs the driver's JVM gateway may never return."""
-    with tempfile.TemporaryDirectory() as folder:
-        for k, m in enumerate(given):
-            np.save(f"{folder}/{k}.npy", m)
-        code = f"import sys, numpy as np; from folioforge.models.links import invert; d = sys.argv[1]; np.save(d + '/out.npy', {what})"
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH")) if x)
-        env = os.environ | {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "PYTHONPATH": path}
-        subprocess.run([sys.executable, "-c", code, folder], check=True, env=env)
-        return np.load(f"{folder}/out.npy")
-
-
-def inverse(m: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric positive matrix."""
-    return _apart("invert(np.load(d + '/0.npy'))", m)
-
-
-def _frame(spark, ids: np.ndarray, b: np.ndarray, topk: int, both: bool, block: int = 1000) -> DataFrame:
-    k = min(topk, len(ids))
-    keep = np.zeros(b.shape, bool)
-    for s in range(0, len(ids), block):
-        cols = np.argsort(-np.abs(b[:, s : s + block]), axis=0, kind="stable")[:k]
-        np.put_along_axis(keep[:, s : s + block], cols, True, axis=0)
-        if both:
-            rows = np.argsort(-np.abs(b[s : s + block]), axis=1, kind="stable")[:, :k]
-            np.put_along_axis(keep[s : s + block], rows, True, axis=1)
-    keep &= b != 0
-    i, j = np.nonzero(keep)
-    import pyarrow as pa
-
-    return spark.createDataFrame(pa.table({"src": ids[i], "dst": ids[j], "w": b[i, j]}))
-
-
-def fit_read(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: int = 100) -> DataFrame:
+    return item_products(ratings.select("user_id", "work_id"), "user_id", "work_id", least=least)
+
+
+class _Fit:
+    """Ratings of the ``n_top`` most rated works over dense numbers, their products and block tables."""
+
+    def __init__(self, ratings: DataFrame, n_top: int, values: dict, block: int):
+        self.scratch = Scratch(ratings.sparkSession, "links")
+        self.block = block
+        self.items = dense_items(top_items(ratings, n_top).select("work_id"), "work_id", self.scratch)
+        self.n = self.items.count()
+        coded = ratings.join(small_or_plain(self.scratch, self.items), "work_id")
+        self.rows = self.scratch.put(coded.select(F.col("user_id").cast("long").alias("r"), "k", *[c.cast("double").alias(v) for v, c in values.items()]))
+
+    def products(self, values: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+        return self.scratch.put(coded_products(self.rows, max(1, self.n), self.scratch, values, pairs))
+
+    def own(self, cell) -> DataFrame:
+        """(a, b, v): a diagonal cell of each work that anyone rated."""
+        return self.rows.groupBy(F.col("k").alias("a")).agg(cell.alias("v")).select("a", F.col("a").alias("b"), "v")
+
+    def table(self, cells: DataFrame, upper: bool) -> DataFrame:
+        return blocks.from_cells(cells, self.n, self.scratch, upper, self.block)
+
+    def links(self, full: DataFrame, weigh, topk: int, both: bool) -> DataFrame:
+        """(src, dst, w): the strongest cells of the blocks, then of the matrix, with the works' own ids."""
+        n, block = self.n, self.block
+
+        def cells(bi: int, bj: int, *data: np.ndarray) -> np.ndarray:
+            shape = blocks.width_of(bi, n, block), blocks.width_of(bj, n, block)
+            w = weigh(bi, bj, *(d.reshape(shape) for d in data))
+            if bi == bj:
+                np.fill_diagonal(w, 0.0)
+            return w
+
+        best = strongest(blocks.strongest_cells(full, n, topk, cells, both, block), topk, both)
+        names = small_or_plain(self.scratch, self.items)
+        named = best.join(names.select(F.col("k").alias("src"), F.col("work_id").alias("_s")), "src").join(names.select(F.col("k").alias("dst"), F.col("work_id").alias("_d")), "dst")
+        return self.scratch.put(named.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "w"))
+
+
+def fit_read(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: int = 100, block: int = blocks.BLOCK) -> DataFrame:
     """(src, dst, w): links that predict who reads what: off-diagonal of I - P diag(1 / diag P), P = (X'X + lam)^-1."""
-    top = top_items(ratings, n_top).cache()
-    ids = np.array(sorted(r["work_id"] for r in top.select("work_id").collect()), dtype=np.int64)
-    x = ratings.join(F.broadcast(top.select("work_id")), "work_id").select("user_id", "work_id", F.lit(1.0).alias("x"))
-    m = _dense(gram(x, x), ids)
-    m[np.diag_indices(len(ids))] += lam
-    p = inverse(m)
-    b = -p / np.diag(p)[None, :]
-    np.fill_diagonal(b, 0.0)
-    return _frame(ratings.sparkSession, ids, b, topk, False)
-
-
-def fit_value(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: int = 100, weights: tuple[float, ...] = STAR_INPUT, min_user: int = 1, min_support: int = 0) -> DataFrame:
+    f = _Fit(ratings, n_top, {}, block)
+    cells = f.products([], []).select("a", "b", F.col("n").cast("double").alias("v")).unionByName(f.own(F.count(F.lit(1)) + F.lit(lam)))
+    swept = blocks.swept(f.table(cells, True), f.n, f.scratch, block)
+    d = blocks.diagonal(swept, f.n, block)
+
+    def weigh(bi: int, bj: int, minus_p: np.ndarray) -> np.ndarray:
+        return minus_p / -d[None, bj * block : bj * block + minus_p.shape[1]]
+
+    return f.links(blocks.mirrored(swept, f.n, block), weigh, topk, False)
+
+
+def fit_value(ratings: DataFrame, lam: float = 500.0, n_top: int = 1000, topk: int = 100, weights: tuple[float, ...] = STAR_INPUT, min_user: int = 1, min_support: int = 0, block: int = blocks.BLOCK) -> DataFrame:
     """(src, dst, w): links from weighted stars to rating minus three; kept are the strongest of each target and of each
     source among pairs that at least ``min_support`` readers share."""
     weights = normalized_weights(weights)
-    top = top_items(ratings, n_top).cache()
-    ids = np.array(sorted(r["work_id"] for r in top.select("work_id").collect()), dtype=np.int64)
     active = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_user).select("user_id")
-    r = ratings.join(active, "user_id", "left_semi").join(F.broadcast(top.select("work_id")), "work_id")
-    x = r.select("user_id", "work_id", star_weight(F.col("rating"), weights).alias("x"))
-    y = r.select("user_id", "work_id", (half_up(F.col("rating")) - 3).cast("double").alias("x"))
-    m = _dense(gram(x, x), ids)
-    m[np.diag_indices(len(ids))] += lam
-    p = inverse(m)
-    m = _dense(gram(x, y), ids)
-    d = _apart("np.load(d + '/0.npy') @ np.load(d + '/1.npy')", p, m)
-    d -= p * (np.diag(d) / np.diag(p))[None, :]
-    np.fill_diagonal(d, 0.0)
+    values = {"x": star_weight(F.col("rating"), weights), "y": half_up(F.col("rating")) - 3}
+    f = _Fit(ratings, n_top, values, block)
+    f.rows = f.rows.join(active.select(F.col("user_id").cast("long").alias("r")), "r", "left_semi")
+    products = f.products(["x", "y"], [(0, 0), (0, 1), (1, 0)])
+    x, y = F.col("x"), F.col("y")
+    a = f.table(products.select("a", "b", F.col("s0").alias("v")).unionByName(f.own(F.sum(x * x) + F.lit(lam))).unionByName(f.items.join(f.rows, "k", "left_anti").select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(lam).alias("v"))), True)
+    c = products.select(F.explode(F.array(F.struct("a", "b", F.col("s1").alias("v")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s2").alias("v")))).alias("e")).select("e.*")
+    c = f.table(c.unionByName(f.own(F.sum(x * y))), False)
+    size = -(-f.n // block)
+    both = f.scratch.put(a.unionByName(c.select("bi", (F.col("bj") + size).cast("int").alias("bj"), "data")))
+    swept = blocks.swept(both, f.n, f.scratch, block)
+    solved = swept.filter(F.col("bj") >= size).select("bi", (F.col("bj") - size).cast("int").alias("bj"), "data")
+    ratio = blocks.diagonal(solved, f.n, block) / -blocks.diagonal(swept, f.n, block)
+    full = blocks.mirrored(swept.filter(F.col("bj") < size), f.n, block).withColumnRenamed("data", "p").join(solved, ["bi", "bj"])
     if min_support:
-        one = r.select("user_id", "work_id", F.lit(1.0).alias("x"))
-        d[_dense(gram(one, one), ids) < min_support] = 0.0
-    return _frame(ratings.sparkSession, ids, d, topk, True)
+        shared = f.table(products.select("a", "b", F.col("n").cast("double").alias("v")), True)
+        full = full.join(blocks.mirrored(shared, f.n, block).withColumnRenamed("data", "shared"), ["bi", "bj"])
+
+    def weigh(bi: int, bj: int, minus_p: np.ndarray, s: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+        w = s + minus_p * ratio[None, bj * block : bj * block + s.shape[1]]
+        return w if shared is None else np.where(shared >= min_support, w, 0.0)
+
+    return f.links(full, weigh, topk, True)
 
 
-def strongest(links: DataFrame, k: int) -> DataFrame:
-    """Links among the k strongest of their target or of their source."""
+def strongest(links: DataFrame, k: int, both: bool = True) -> DataFrame:
+    """Links among the k strongest of their target or, with ``both``, of their source."""
     size = F.desc(F.abs("w"))
     by_dst = F.row_number().over(Window.partitionBy("dst").orderBy(size, "src"))
+    if not both:
+        return links.withColumn("_d", by_dst).filter(F.col("_d") <= k).drop("_d")
     by_src = F.row_number().over(Window.partitionBy("src").orderBy(size, "dst"))
     return links.withColumn("_d", by_dst).withColumn("_s", by_src).filter((F.col("_d") <= k) | (F.col("_s") <= k)).drop("_d", "_s")
 

@@ -206,22 +206,66 @@ def test_links_match_closed_form(spark):
         assert np.allclose(b[keep, j], direct, atol=1e-8)
 
 
-def test_links_are_fitted_over_more_works_than_a_block(spark):
+def test_block_sweeps_invert(spark):
+    import numpy as np
+
+    from folioforge.models import blocks
+
+    rng = np.random.default_rng(3)
+    scratch = Scratch(spark, "t")
+    for n, block in ((23, 5), (8, 4), (5, 16), (1, 4)):
+        x = (rng.random((60, n)) < 0.4).astype(float)
+        a, c = x.T @ x + 2 * np.eye(n), rng.random((n, n))
+        up = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(i, n)], "a long, b long, v double")
+        right = spark.createDataFrame([(i, j, float(c[i, j])) for i in range(n) for j in range(n)], "a long, b long, v double")
+        size = -(-n // block)
+        m = blocks.from_cells(up, n, scratch, True, block).unionByName(blocks.from_cells(right, n, scratch, False, block).select("bi", (F.col("bj") + size).cast("int").alias("bj"), "data"))
+        out = blocks.swept(scratch.put(m), n, scratch, block)
+        p, s = np.zeros((n, n)), np.zeros((n, n))
+        for r in blocks.mirrored(out.filter(F.col("bj") < size), n, block).unionByName(out.filter(F.col("bj") >= size)).collect():
+            at = r.bj % size if r.bj < size else r.bj - size
+            h, w = blocks.width_of(r.bi, n, block), blocks.width_of(at, n, block)
+            (p if r.bj < size else s)[r.bi * block : r.bi * block + h, at * block : at * block + w] = np.frombuffer(r.data).reshape(h, w)
+        assert np.allclose(-p, np.linalg.inv(a), atol=1e-8) and np.allclose(s, np.linalg.inv(a) @ c, atol=1e-8)
+        assert np.allclose(blocks.diagonal(out, n, block), -np.diag(np.linalg.inv(a)))
+
+
+def test_links_do_not_depend_on_blocks(spark):
     import inspect
 
     import numpy as np
 
     from folioforge.plans import rank_queries
 
-    rng = np.random.default_rng(3)
-    x = (rng.random((60, 23)) < 0.4).astype(float)
-    m = x.T @ x + 2 * np.eye(23)
-    assert np.allclose(links.invert(m.copy(), 5), np.linalg.inv(m))
-    g = spark.createDataFrame([(10 * i, 10 * j, float(m[i, j])) for i in range(23) for j in range(23)], "i long, j long, g double")
-    assert np.allclose(links._dense(g, 10 * np.arange(23), rows=100), m)
+    rng = np.random.default_rng(5)
+    r = spark.createDataFrame([(u, w, float(rng.integers(1, 6))) for u in range(40) for w in range(13) if rng.random() < 0.4], "user_id int, work_id long, rating double")
+    for fit in (lambda b: links.fit_read(r, 2.0, 11, 4, block=b), lambda b: links.fit_value(r, 2.0, 11, 4, min_support=3, block=b)):
+        a, b = ({(x.src, x.dst): x.w for x in fit(block).collect()} for block in (512, 3))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     assert rank_queries.WIDTH >= 30_000 and rank_queries.LINKS >= 100 and rank_queries.FACTORS >= 64 and "500, 50" not in inspect.getsource(rank_queries)
 
 
+def test_item_products_equal_pairs_of_rows(spark):
+    import random
+    from collections import defaultdict
+
+    from folioforge.operators import gram
+
+    rnd = random.Random(2)
+    rows = {(u, rnd.randrange(30)): (rnd.uniform(-2, 2), rnd.uniform(-2, 2)) for u in range(20) for _ in range(rnd.choice((1, 4, 25)))} | {(77, w): (1.5, -1.0) for w in range(30)}
+    df = spark.createDataFrame([(u, w, x, y) for (u, w), (x, y) in rows.items()], "u long, w long, x double, y double")
+    want = defaultdict(lambda: [0, 0.0, 0.0])
+    for (u, a), (x, _) in rows.items():
+        for b in range(a + 1, 30):
+            if (u, b) in rows:
+                for i, v in enumerate((1, x * rows[u, b][1], rows[u, a][1] * rows[u, b][0])):
+                    want[a, b][i] += v
+    for piece in (2048, 4):
+        got = {(r.i, r.j): (r.n, r.s0, r.s1) for r in gram.item_products(df, "u", "w", ["x", "y"], [(0, 1), (1, 0)], piece_items=piece).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 and abs(got[k][2] - v[2]) < 1e-9 for k, v in want.items())
+    assert gram.item_products(df.limit(0), "u", "w").count() == 0
+
+
 def test_ridge_step_matches_numpy(spark):
     import numpy as np
 
