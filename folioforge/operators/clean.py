@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.numeric import half_up
 from folioforge.functions.text import matches_any, series_number, title_key
-from folioforge.session import Scratch, small_or_plain
+from folioforge.session import BROADCAST_BYTES, Scratch
 
 #: Title patterns of collections, non-books and adaptations.
 COLLECTION_PATTERNS = (
@@ -218,23 +218,29 @@ def kcore(ratings: DataFrame, min_user: int, min_work: int) -> tuple[DataFrame,
     alive = scratch.put(kept.join(works, "work_id", "left_semi").select("user_id", "work_id"))
     scratch.drop(pairs)
     least = {"user_id": min_user, "work_id": min_work}
-    counts = {k: scratch.put(alive.groupBy(k).agg(n)) for k in least}
-    passes, quiet, side, other = 1, 0, "user_id", "work_id"
-    while quiet < 2:
+    def counted(c: Column, key: str, before: Column) -> tuple[Column, Column]:
+        return c.alias("c"), ((before >= least[key]) & (c < least[key])).alias("fell")
+
+    # In the first pass users were counted before works fell, so a user may fall at once; no work can.
+    first = F.lit(1 << 62)
+    counts = {k: scratch.put(alive.groupBy(k).agg(n).select(k, *counted(F.col("c"), k, first))) for k in least}
+    passes, side, other = 1, "user_id", "work_id"
+    fresh = set(least)  # sides whose counts are new since their fallen keys were taken out
+    while fresh:
         passes += 1
-        fallen = scratch.put(counts[side].filter(F.col("c") < least[side]).select(side))
-        if fallen.isEmpty():
-            quiet += 1
-        else:
-            quiet = 0
-            gone = alive.join(small_or_plain(scratch, fallen), side, "left_semi").groupBy(other).agg(F.count(F.lit(1)).alias("d"))
-            left = scratch.put(counts[side].filter(F.col("c") >= least[side]))
-            less = scratch.put(counts[other].join(gone, other, "left").select(other, (F.col("c") - F.coalesce("d", F.lit(0))).alias("c")))
-            for k, new in ((side, left), (other, less)):
-                scratch.drop(counts[k])
-                counts[k] = new
-        scratch.drop(fallen)
+        fallen = counts[side].filter("fell").select(side)
+        n_fallen = fallen.count() if side in fresh else 0
+        fresh.discard(side)
+        if n_fallen:
+            some = F.broadcast(fallen) if n_fallen * 16 <= BROADCAST_BYTES else fallen
+            gone = alive.join(some, side, "left_semi").groupBy(other).agg(F.count(F.lit(1)).alias("d"))
+            rest = counts[other].join(gone, other, "left").select(other, (F.col("c") - F.coalesce("d", F.lit(0))).alias("now"), F.col("c").alias("before"))
+            new = scratch.put(rest.select(other, *counted(F.col("now"), other, F.col("before"))))
+            scratch.drop(counts[other])
+            counts[other] = new
+            fresh.add(other)
         side, other = other, side
+    counts = {k: c.filter(F.col("c") >= least[k]) for k, c in counts.items()}
     core = ratings.join(counts["user_id"].select("user_id"), "user_id", "left_semi").join(counts["work_id"].select("work_id"), "work_id", "left_semi")
     return core.select(*ratings.columns), passes
 
