@@ -1,176 +1,18 @@
 """Items that appear together: a blocked Gram matrix of binary record-by-item data.
 
 Records and items are reduced to distinct pairs, items that no qualifying pair can contain are removed by exact
-bounds, and the rest becomes sparse binary rows over dense item numbers. Each task takes blocks of records, forms
-the upper triangle of the block's transpose-product and sums it; partial sums travel as packed blobs, one per row
-block of the matrix, and are added there. Records with very many items are cut into item blocks first, so that
-every product is of two bounded pieces.
+bounds, and the rest becomes sparse binary rows over dense item numbers, whose transpose-products are summed block by
+block (``operators/gram.py``). Counts are then set against what the marginals give by chance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.skew import numbered
+from folioforge.operators.gram import coded_products, dense_items
 from folioforge.session import Scratch, small_or_plain
 
-#: Codes held before a record block is summed; entries held before a row block is.
-BLOCK_CODES = 2_000_000
-BLOCK_ROWS = 200_000
-
-
-def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(codes, prepend=0)
-    small = np.minimum(counts, 255).astype(np.uint8)
-    big = np.flatnonzero(counts >= 255)
-    head = np.array([len(codes), len(big)], dtype=np.int64).tobytes()
-    raw = head + gaps.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + small.tobytes() + big.astype("<i8").tobytes() + counts[big].astype("<i8").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, m = np.frombuffer(raw, "<i8", 2)
-    at = 16
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
-    at += 8 * n
-    counts = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
-    at += n
-    counts[np.frombuffer(raw, "<i8", m, at)] = np.frombuffer(raw, "<i8", m, at + 8 * m)
-    return np.cumsum(gaps), counts
-
-
-def _summed(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Equal codes added up; sorted by code."""
-    if counts is None:
-        codes.sort()
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[starts], np.diff(starts, append=len(codes))
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[starts], np.add.reduceat(counts, starts)
-
-
-def unit_products(unit: np.ndarray, side: np.ndarray, item: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Codes item_a * width + item_b of the products of each unit, item_a < item_b.
-
-    Rows are sorted by (unit, side, item). A unit with one side is a record's own piece: all pairs in it. A unit
-    with two sides is the product of two pieces of one record: pairs across the sides only.
-    """
-    new = np.concatenate([[True], unit[1:] != unit[:-1]])
-    start = np.flatnonzero(new)
-    length = np.diff(start, append=len(unit))
-    left = np.repeat(start + length, length) - np.arange(len(unit)) - 1  # rows of the unit after this one
-    at, lag = np.arange(len(unit)), 1
-    while True:
-        at = at[left[at] >= lag]
-        if not len(at):
-            return
-        a, b = item[at], item[at + lag]
-        cross = (side[at] == 0) | (side[at] != side[at + lag])
-        if not cross.all():
-            a, b = a[cross], b[cross]
-        yield np.minimum(a, b) * width + np.maximum(a, b)
-        lag += 1
-
-
-def _products(width: int, row_blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held
-            if not n_held:
-                return
-            codes, counts = _summed(np.concatenate(held), None)
-            held, n_held = [], 0
-            block = (codes // width) % row_blocks
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            ids, blobs = [], []
-            for part in np.split(order, cuts):
-                ids.append(int(block[part[0]]))
-                blobs.append(_pack(codes[part], counts[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["row_block", "sums"])
-
-        rest: tuple[np.ndarray, ...] | None = None
-        pending: list[tuple[np.ndarray, ...]] = []
-        n_pending = 0
-
-        def work(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal pending, n_pending, rest, n_held
-            parts = ([rest] if rest is not None else []) + pending
-            pending, n_pending, rest = [], 0, None
-            if not parts:
-                return
-            unit, side, item = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            if not last and len(unit):
-                tail = len(unit) - 1
-                while tail > 0 and unit[tail - 1] == unit[-1]:
-                    tail -= 1
-                rest = (unit[tail:], side[tail:], item[tail:])
-                unit, side, item = unit[:tail], side[:tail], item[:tail]
-            if len(unit):
-                for codes in unit_products(unit, side, item, width):
-                    held.append(codes)
-                    n_held += len(codes)
-                    if n_held >= BLOCK_CODES:
-                        yield from flush()
-
-        for batch in batches:
-            cols = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            pending.append(cols)
-            n_pending += len(cols[0])
-            if n_pending >= BLOCK_ROWS:
-                yield from work(False)
-        yield from work(True)
-        yield from flush()
-
-    return run
-
-
-def _sums(width: int, min_count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n_held, now = 0, None
-
-        def add() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
-
-        def out() -> Iterator[pa.RecordBatch]:
-            codes, counts = add()
-            ok = counts >= min_count
-            codes, counts = codes[ok], counts[ok]
-            for i in range(0, len(codes), 50_000):
-                part = codes[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part // width), pa.array(part % width), pa.array(counts[i : i + 50_000])], names=["a", "b", "n_both"]
-                )
-
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block != now and held:
-                    yield from out()
-                    held, n_held = [], 0
-                now = block
-                held.append(_unpack(blob))
-                n_held += len(held[-1][0])
-                if n_held > 2 * BLOCK_CODES:
-                    one = add()
-                    # What is left after adding up is distinct; the next round starts from it.
-                    held, n_held = [one], 0
-        if held:
-            yield from out()
-
-    return run
-
 
 def pair_counts(
     df: DataFrame, record: str, item: str, min_count: int = 20, min_lift: float = 0.0, piece_items: int = 2048
@@ -193,41 +35,9 @@ def pair_counts(
     totals = scratch.put(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")))
     # lift >= L and n_both <= min(n_a, n_b) give max(n_a, n_b) <= n_records / L.
     most = n_records / min_lift if min_lift > 0 else float("inf")
-    kept = numbered(totals.filter((F.col("n") >= min_count) & (F.col("n") <= most)), "i", ["i"], scratch)
-    kept = scratch.put(kept.select("i", "n", F.col("_row").alias("k")))
-    width = max(1, kept.count())
+    kept = dense_items(totals.filter((F.col("n") >= min_count) & (F.col("n") <= most)), "i", scratch)
     coded = pairs.join(small_or_plain(scratch, kept.select("i", "k"), kept), "i").select("r", "k")
-    sizes = scratch.put(coded.groupBy("r").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("m", F.col("m").cast("int")))
-    stats = sizes.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.max("m")).first()
-    work, longest = stats[0] or 0.0, stats[1] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row_blocks = int(max(parts, work // (2 * BLOCK_CODES) + 1))
-    small = coded.select(F.col("r").alias("u"), F.lit(0).alias("side"), "k")
-    if longest > piece_items:
-        big = scratch.put(sizes.filter(F.col("m") > piece_items).select("r", F.ceil(F.col("m") / piece_items).cast("int").alias("pieces")))
-        small = coded.join(small_or_plain(scratch, big.select("r"), big), "r", "left_anti").select(F.col("r").alias("u"), F.lit(0).alias("side"), "k")
-        cut = coded.join(small_or_plain(scratch, big, big), "r").withColumn("p", F.pmod(F.xxhash64("k"), F.col("pieces")).cast("int"))
-        # Piece p meets every other piece once: as side 1 of (q, p) for q < p and as side 1 of nothing else.
-        met = cut.select(
-            "r", "k", "p", "pieces",
-            F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"),
-        )
-        lo, hi = F.least("p", "q"), F.greatest("p", "q")
-        split = met.select(
-            F.xxhash64("r", lo, hi).alias("u"),
-            F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"),
-            "k",
-        )
-        # A unit id may collide with a reader's; the order below keeps apart what differs in kind.
-        products_in = [small, split]
-    else:
-        products_in = [small]
-    blobs = None
-    for rows in products_in:
-        placed = rows.repartition(parts, "u").sortWithinPartitions("u", "side", "k")
-        one = placed.mapInArrow(_products(width, row_blocks), "row_block long, sums binary")
-        blobs = one if blobs is None else blobs.unionByName(one)
-    summed = blobs.repartition(min(row_blocks, 4 * parts), "row_block").sortWithinPartitions("row_block").mapInArrow(_sums(width, min_count), "a long, b long, n_both long")
+    summed = coded_products(coded, max(1, kept.count()), scratch, least=min_count, piece_items=piece_items).withColumnRenamed("n", "n_both")
     left = kept.select(F.col("k").alias("a"), F.col("i").alias("item_a"), F.col("n").alias("n_a"))
     right = kept.select(F.col("k").alias("b"), F.col("i").alias("item_b"), F.col("n").alias("n_b"))
     out = summed.join(small_or_plain(scratch, left, kept), "a").join(small_or_plain(scratch, right, kept), "b")

@@ -393,11 +393,11 @@ def match(
         p.filter("p_core <> '' and p_family = ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"))
         .join(titles.filter("m = 1"), ["core", "vol"]).select("pid", F.col("only").alias("book"))
     )
-    # Products whose title and family name are those of a book need no likeness search; this also keeps a busy author's
-    # exact copies out of the gram block.
+    # Products whose title and whole author are those of a book need no likeness search: no other book can be nearer. This
+    # also keeps a busy author's exact copies out of the gram block.
     settled = (
-        p.filter("p_core <> '' and p_family <> ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"), F.col("p_family").alias("family"), initial("p_given").alias("g"))
-        .join(books.select("core", "vol", "family", initial("given").alias("g")).distinct(), ["core", "vol", "family", "g"], "left_semi").select("pid")
+        p.filter("p_core <> '' and p_family <> '' and p_given <> ''").select("pid", F.col("p_core").alias("core"), F.col("p_vol").alias("vol"), F.col("p_family").alias("family"), F.col("p_given").alias("given"))
+        .join(books.select("core", "vol", "family", "given").distinct(), ["core", "vol", "family", "given"], "left_semi").select("pid")
     )
     by_name = (
         p.filter("p_core <> '' and p_family <> ''").join(settled, "pid", "left_anti").select("pid", _grams(F.col("p_core"), F.col("p_family"), F.col("p_vol")).alias("gram"))
@@ -421,7 +421,7 @@ def match(
     evid = ["cluster", "book", *RULES]
     live = scratch.put(live.select("pid", *evid))
     # Products with the same candidates and evidence are one variable with a weight.
-    sign = live.groupBy("pid", "cluster").agg(F.hash(F.sort_array(F.collect_list(F.struct("book", *RULES)))).cast("long").alias("h"), F.count(F.lit(1)).alias("k"))
+    sign = live.groupBy("pid", "cluster").agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("book", *RULES))))).alias("h"), F.count(F.lit(1)).alias("k"))
     reps = scratch.put(sign.groupBy("cluster", "h", "k").agg(F.min("pid").alias("rep"), F.count(F.lit(1)).alias("copies")))
     rows = live.join(reps.select(F.col("rep").alias("pid"), "copies"), "pid").select("pid", "cluster", "book", "copies", *RULES)
     solved = rows.repartition("cluster").sortWithinPartitions("cluster", "pid").mapInArrow(_admm, "pid long, book long, confidence double")

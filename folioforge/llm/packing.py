@@ -20,26 +20,40 @@ from folioforge.llm.tokens import _default_pattern, encode_batch, encoder, vocab
 from folioforge.session import Scratch
 
 DIMS, BITS = 3, 12
-WINDOW = 8192
+#: Dimensions of a document's hashed vector, before it is projected to ``DIMS``.
+BUCKETS = 512
+#: Neighbours on the curve that are packed together: a few hundred containers.
+WINDOW = 1024
 
 
-def token_signs(n: int) -> np.ndarray:
-    """n x DIMS pseudo-random signs from a hash of the token id (splitmix64), the same everywhere."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of whole numbers (splitmix64), the same everywhere."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    return x ^ (x >> np.uint64(31))
+
+
+def token_buckets(n: int) -> np.ndarray:
+    """The bucket of each token id."""
+    return (_mixed(np.arange(1, n + 1)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def axes() -> np.ndarray:
+    """BUCKETS x DIMS pseudo-random signs onto which hashed vectors are projected."""
+    x = _mixed(np.arange(1, BUCKETS + 1) + (1 << 32))
     return np.stack([((x >> np.uint64(8 * d)) & np.uint64(1)).astype(np.float64) * 2 - 1 for d in range(DIMS)], axis=1)
 
 
-def project(ends: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Grid cells (documents x DIMS) of the mean sign vectors; documents without tokens lie in the middle."""
-    sums = np.concatenate([np.zeros((1, DIMS)), np.cumsum(signs[ids], axis=0)])
-    total = sums[ends[1:]] - sums[ends[:-1]]
-    n = np.maximum(np.diff(ends), 1)[:, None]
-    # Means of signs are small; the square root spreads the middle of the scale.
-    mean = total / n
-    spread = np.sign(mean) * np.sqrt(np.abs(mean))
+def project(ends: np.ndarray, ids: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Grid cells (documents x DIMS) of the projected vectors: square roots of the bucket counts, of length one;
+    documents without tokens lie in the middle."""
+    n = len(ends) - 1
+    doc = np.repeat(np.arange(n), np.diff(ends))
+    vectors = np.sqrt(np.bincount(doc * BUCKETS + buckets[ids[ends[0] : ends[-1]]], minlength=n * BUCKETS).reshape(n, BUCKETS))
+    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    # A unit vector's projection is about normal; three deviations to each side fill the scale.
+    spread = vectors @ axes() / np.maximum(norm, 1e-12) / 3
     return np.clip(((spread + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
@@ -98,10 +112,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def _sized(key: str, path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        signs = token_signs(max(bpe.ranks.values()) + 1)
+        buckets = token_buckets(max(bpe.ranks.values()) + 1)
         for batch in batches:
             ends, ids = encode_batch(bpe, batch.column(1).to_pylist())
-            curve = hilbert_key(project(ends, ids, signs))
+            curve = hilbert_key(project(ends, ids, buckets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(curve)], names=[key, "n_tokens", "curve"])
 
     return run

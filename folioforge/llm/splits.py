@@ -71,34 +71,49 @@ def _reach(counts: Mapping[int, int]) -> list[tuple[int, int, int]]:
     return items
 
 
-def closest_subset(counts: Mapping[int, int], target: int, window: int = 1 << 22) -> dict[int, int]:
-    """How many groups of each size make a total as close to ``target`` as possible (the smaller total on a tie).
-
-    Exact: bit t of a big integer says that total t can be reached. Where the target is beyond ``window``, groups
-    are taken proportionally first and the bitset solves the rest, so its length is bounded; the result stays exact
-    whenever single-record groups are left to take, since they reach every total.
-    """
-    taken = dict.fromkeys(counts, 0)
-    left = dict(counts)
-    total = sum(s * n for s, n in counts.items())
-    if target > window and total:
-        share = (target - window // 2) / total
-        for s in left:
-            k = int(left[s] * share)
-            taken[s] += k
-            left[s] -= k
-        target -= sum(s * k for s, k in taken.items())
-    items = _reach(left)
-    masks, reach, full = [], 1, (1 << (2 * target + 2)) - 1
+def _pick(items: list[tuple[int, int, int]], start: int, low: int, high: int, target: int) -> tuple[int, list[bool]]:
+    """Which items (.., signed weight) lead from total ``start`` to the total nearest to ``target`` (the smaller on a
+    tie), and that total; totals stay between ``low`` and ``high``. Bit t - low of an integer says that t is reached."""
+    reach, full, masks = 1 << (start - low), (1 << (high - low + 1)) - 1, []
     for _, _, w in items:
         masks.append(reach)
-        if w <= 2 * target + 1:
-            reach |= (reach << w) & full
-    best = next((t for d in range(target + 2) for t in (target - d, target + d) if t >= 0 and reach >> t & 1), 0)
-    for (size, n, w), before in zip(reversed(items), reversed(masks), strict=True):
-        if not before >> best & 1:
-            taken[size] += n
-            best -= w
+        reach |= (reach << w if w >= 0 else reach >> -w) & full
+    best = next(t for d in range(high - low + 1) for t in (target - d, target + d) if low <= t <= high and reach >> (t - low) & 1)
+    at, used = best, []
+    for (_, _, w), before in zip(reversed(items), reversed(masks), strict=True):
+        out = before >> (at - low) & 1
+        used.append(not out)
+        if not out:
+            at -= w
+    return best, used[::-1]
+
+
+def closest_subset(counts: Mapping[int, int], target: int, direct_bits: int = 1 << 23) -> dict[int, int]:
+    """How many groups of each size make a total as close to ``target`` as possible (the smaller total on a tie). Exact.
+
+    Where totals up to twice the target fit ``direct_bits``, one bitset holds them all. Beyond, the sizes are filled up in
+    turn until the target is passed; some nearest total differs from that filling by at most 3 m + 3 groups, m the
+    largest size (the proximity of whole and fractional solutions of one equation), so a bitset of the differences,
+    6 m (m + 1) bits however large the target, holds a nearest total too.
+    """
+    if 2 * target + 2 <= direct_bits:
+        taken = dict.fromkeys(counts, 0)
+        items = [(s, n, w) for s, n, w in _reach(counts) if w <= 2 * target + 1]
+        _, used = _pick(items, 0, 0, 2 * target + 1, target)
+        for (size, n, _), yes in zip(items, used, strict=True):
+            taken[size] += n if yes else 0
+        return taken
+    taken, left = dict.fromkeys(counts, 0), target
+    for size, n in sorted(counts.items(), reverse=True):
+        taken[size] = min(n, left // size)
+        left -= size * taken[size]
+    most = 3 * max(counts, default=0) + 3
+    span = most * max(counts, default=0)
+    more = [(s, n, w) for s, n, w in _reach({s: min(most, n - taken[s]) for s, n in counts.items()})]
+    less = [(s, -n, -w) for s, n, w in _reach({s: min(most, taken[s]) for s in counts})]
+    _, used = _pick(more + less, 0, -span, span, left)
+    for (size, n, _), yes in zip(more + less, used, strict=True):
+        taken[size] += n if yes else 0
     return taken
 
 

@@ -38,14 +38,6 @@ def test_pair_lift_is_a_ratio_and_empty_is_empty(spark):
     assert cooccur.pair_counts(df.limit(0), "r", "i", 2).count() == 0
 
 
-def test_packed_sums_round_trip():
-    import numpy as np
-
-    codes, counts = np.array([3, 9, 2**40]), np.array([1, 300, 254])
-    a, b = cooccur._unpack(cooccur._pack(codes, counts))
-    assert list(a) == list(codes) and list(b) == list(counts)
-
-
 # --- components ---------------------------------------------------------------------------------------------------
 
 
@@ -130,6 +122,16 @@ def test_closest_subset_is_the_best_there_is():
         assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(t - target) for t in totals)
 
 
+def test_closest_subset_is_exact_beyond_the_direct_bitset():
+    rnd = random.Random(12)
+    for _ in range(300):
+        counts = {rnd.randrange(1, 9): rnd.randrange(1, 40) for _ in range(rnd.randrange(1, 5))}
+        target = rnd.randrange(sum(s * n for s, n in counts.items()) + 3)
+        near, far = (splits.closest_subset(counts, target, direct_bits=b) for b in (1 << 23, 0))
+        assert all(0 <= far[s] <= n for s, n in counts.items())
+        assert sum(s * n for s, n in near.items()) == sum(s * n for s, n in far.items())
+
+
 def test_linked_pairs_and_split(spark):
     a, b = "9a5122ac3664de2aa5956582c405fff9", "ff43bf19b4fa34e6f347517a9439d0cb"
     users = [(1, a), (2, f" {a.upper()} "), (3, f"urn:uuid:{b[:8]}-{b[8:12]}-{b[12:16]}-{b[16:20]}-{b[20:]}"), (4, "{" + b + "}"), (5, "0" * 32), (6, "0" * 32), (7, None), (8, "n/a"), (9, "n/a"), (1, a), (None, a)]
