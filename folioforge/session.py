@@ -29,12 +29,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch tables: the cluster's, or one of our own where none is set."""
+    """The folder for scratch tables: the cluster's; on one machine without that setting one of our own. A cluster
+    without it is an error, since a folder of one machine is not seen by the others."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")

@@ -245,6 +245,16 @@ def test_links_do_not_depend_on_blocks(spark):
     assert rank_queries.WIDTH >= 30_000 and rank_queries.LINKS >= 100 and rank_queries.FACTORS >= 64 and "500, 50" not in inspect.getsource(rank_queries)
 
 
+def test_packed_sums_round_trip():
+    import numpy as np
+
+    from folioforge.operators import gram
+
+    codes, sums = np.array([3, 9, 2**40]), [np.array([1, 300, 254]), np.array([-5, 2**50, 0])]
+    a, b = gram.unpack(gram.pack(codes, sums), 2)
+    assert list(a) == list(codes) and all(list(x) == list(y) for x, y in zip(b, sums, strict=True))
+
+
 def test_item_products_equal_pairs_of_rows(spark):
     import random
     from collections import defaultdict
