@@ -224,3 +224,32 @@ def word_similarity(query: Column, text: Column) -> Column:
 def display_title(local: Column, original: Column) -> Column:
     """``local / original`` where both exist and differ, else whichever exists."""
     return F.when(local.isNotNull() & original.isNotNull() & (local != original), F.concat_ws(" / ", local, original)).otherwise(F.coalesce(local, original))
+
+
+def compare_key(text: Column) -> Column:
+    """Words and digits before the first colon or bracket, without case, accents, signs and a leading English article."""
+    head = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[:(\[].*\z", "")
+    words = F.filter(F.split(without_marks(F.lower(head)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_join(F.filter(words, lambda w, i: (i > 0) | ~w.isin("the", "a", "an") | (F.size(words) == 1)), " ")
+
+
+def surname(name: Column) -> Column:
+    return F.substring_index(compare_key(name), " ", -1)
+
+
+#: Russian letters in Latin, for comparing names.
+LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+}
+
+
+def latin(text: Column) -> Column:
+    """Russian letters of a lower-cased text in Latin; single ones in one pass, the others by replacement."""
+    single = {c: v for c, v in LATIN.items() if len(v) == 1}
+    gone = "".join(c for c, v in LATIN.items() if not v)
+    out = F.translate(F.lower(text), "".join(single) + gone, "".join(single.values()))
+    for c, v in LATIN.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(c), F.lit(v))
+    return out

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import clean_queries, eval_queries, event_queries, link_queries, profile_queries, rank_queries, skew_queries, staging_queries, text_queries
+from folioforge.plans import clean_queries, eval_queries, event_queries, judge_queries, link_queries, profile_queries, rank_queries, skew_queries, staging_queries, text_queries
 from folioforge.plans.base import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries, rank_queries, event_queries, eval_queries, staging_queries)
+MODULES = (skew_queries, clean_queries, profile_queries, text_queries, link_queries, rank_queries, event_queries, eval_queries, judge_queries, staging_queries)
 
 
 def queries() -> dict[str, Query]:
