@@ -116,8 +116,21 @@ def title_form(title: str | None) -> tuple[str, str, int, int, int]:
     return _ARTICLE_FIRST.sub("", core), subtitle, volume, kind, cut
 
 
+_SIGN = plain_re.compile(r"\s*(?:[:(\[]|\s-\s)")
+_JOINED = re.compile(r"(?<=\p{Ll})(?=\p{Lu})")
+
+
+def title_head(title: str | None) -> str:
+    """Comparable title of what stands before the first colon, bracket or dash; empty where nothing or no more stands."""
+    m = _SIGN.search(t := plain(title))
+    return title_form(t[: m.start()])[0] if m and m.start() >= 4 else ""
+
+
 def author_form(author: str | None) -> tuple[str, str]:
-    """(family, given) of the first author named; empty for none."""
+    """(family, given) of the first author named; empty for none. A name without any blank is parted where a capital
+    follows a small letter."""
+    if author and not any(map(str.isspace, author.strip())):
+        author = _JOINED.sub(" ", author)
     a = plain(author)
     a = re.sub(r"\((?:author|editor|writer)\)", "", a)
     a = re.sub(r"^(?:by|ba|bv|hy|b y)\s+", "", a.strip())
@@ -138,12 +151,13 @@ def author_form(author: str | None) -> tuple[str, str]:
 
 
 def _forms(df: DataFrame, key: str, kind: str, title: str, author: str | None) -> DataFrame:
-    """(key, core, sub, vol, about, cut, family, given)."""
+    """(key, core, sub, vol, about, cut, family, given, head)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str | None, tuple[str, str]] = {}
         for batch in batches:
-            titles = [title_form(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            titles = [title_form(t) for t in texts]
             authors = []
             for a in batch.column(2).to_pylist():
                 if a not in memo:
@@ -154,10 +168,11 @@ def _forms(df: DataFrame, key: str, kind: str, title: str, author: str | None) -
             cols = [batch.column(0)]
             cols += [pa.array([t[i] for t in titles], pa.string() if i < 2 else pa.int32()) for i in range(5)]
             cols += [pa.array([a[i] for a in authors], pa.string()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "core", "sub", "vol", "about", "cut", "family", "given"])
+            cols.append(pa.array([title_head(t) for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "core", "sub", "vol", "about", "cut", "family", "given", "head"])
 
     chosen = df.select(F.col(key), F.col(title).alias("_t"), (F.col(author) if author else F.lit(None).cast("string")).alias("_a"))
-    return chosen.mapInArrow(run, f"{key} {kind}, core string, sub string, vol int, about int, cut int, family string, given string")
+    return chosen.mapInArrow(run, f"{key} {kind}, core string, sub string, vol int, about int, cut int, family string, given string, head string")
 
 
 def isbn13(raw: Column) -> Column:
@@ -208,6 +223,8 @@ def evidence(pairs: DataFrame) -> DataFrame:
     same_initial = F.substring("p_given", 1, 1) == F.substring("given", 1, 1)
     given = F.when((F.length("p_given") <= 1) | (F.length("given") <= 1), F.when(same_initial, 0.9).otherwise(0.0)).otherwise(_near(F.col("p_given"), F.col("given")))
     a = F.when((F.col("p_family") == "") | (F.col("family") == ""), -1.0).otherwise(F.least(family, F.greatest(given, F.when(same_initial, 0.6).otherwise(0.0))))
+    headed = (F.col("p_head") == F.col("core")) & (F.col("core") != "") & (a >= 0.9)
+    t = F.when(headed, F.greatest(F.lit(0.93), t)).otherwise(t)
     sub = F.when((F.col("p_sub") == "") | (F.col("sub") == ""), 0.5).otherwise(_near(F.col("p_sub"), F.col("sub")))
     return pairs.select("*", t.alias("t"), a.alias("a"), sub.alias("s"), (F.col("p_vol") == F.col("vol")).alias("same_vol"))
 
@@ -356,7 +373,7 @@ def match(
     p = scratch.put(
         p_forms.withColumn("pid", F.xxhash64("parent_asin")).select(
             "parent_asin", "pid", F.col("core").alias("p_core"), F.col("sub").alias("p_sub"), F.col("vol").alias("p_vol"), F.col("about").alias("p_about"),
-            F.col("cut").alias("p_cut"), F.col("family").alias("p_family"), F.col("given").alias("p_given"),
+            F.col("cut").alias("p_cut"), F.col("family").alias("p_family"), F.col("given").alias("p_given"), F.col("head").alias("p_head"),
         )
     )
     # Books: works by main author, title and volume.
@@ -408,9 +425,14 @@ def match(
         p.filter("p_core <> '' and p_family <> ''").join(settled, "pid", "left_anti").select("pid", _less_one(F.col("p_family"), F.col("p_given"), F.col("p_vol")).alias("form"))
         .join(books.filter("family <> ''").select("book", _less_one(F.col("family"), F.col("given"), F.col("vol")).alias("form")), "form").select("pid", "book")
     )
+    # A tail that no form of title knows: what stands before it is the whole title of a book by the same author.
+    by_head = (
+        p.filter("p_head not in ('', p_core) and p_family <> ''").select("pid", F.col("p_head").alias("core"), F.col("p_vol").alias("vol"), F.col("p_family").alias("family"), initial("p_given").alias("g"))
+        .join(books.select("core", "vol", "family", initial("given").alias("g"), "book"), ["core", "vol", "family", "g"]).select("pid", "book")
+    )
     found = scratch.put(
         by_code.withColumn("isbn", F.lit(True)).withColumn("alone", F.lit(False))
-        .unionByName(by_title.unionByName(by_name).unionByName(by_likeness).withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(False)))
+        .unionByName(by_title.unionByName(by_name).unionByName(by_likeness).unionByName(by_head).withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(False)))
         .unionByName(alone.withColumn("isbn", F.lit(False)).withColumn("alone", F.lit(True)))
         .groupBy("pid", "book").agg(F.max("isbn").alias("isbn"), F.max("alone").alias("alone"))
     )

@@ -384,6 +384,18 @@ def test_titles_with_typos_and_shifted_blanks_are_candidates(spark):
     assert {r.parent_asin: r.work_id for r in linkage.match(p, w, e, a).collect()} == {"P1": 1, "P2": 2, "P3": 3, "P4": 4, "P7": 1}
 
 
+def test_titles_with_unknown_tails_and_joined_names_are_found(spark):
+    works = [(1, "The Salt Atlas", 1), (2, "The Salt Atlas Returns", 1), (3, "Red Wolf", 2)]
+    w = spark.createDataFrame([(i, t, None, None, False, 1) for i, t, _ in works], "work_id long, title string, original_title string, best_edition_title string, is_collection boolean, gr_ratings_count long")
+    e = spark.createDataFrame([(i, [a], None, None, t) for i, t, a in works], "work_id long, author_ids array<long>, isbn13 string, isbn string, title string")
+    a = spark.createDataFrame([(1, "Silvan Caligvik"), (2, "Henrik Havokcairn")], "author_id long, name string")
+    az = [("P1", "The Salt Atlas: A Nvel", "S. Caligvik"), ("P2", "The Salt Atlas (Larg Prnt)", "Silvan Caligvik"), ("P3", "Red Wolf", "HenrikHavokcairn"), ("P4", "The Salt Atlas Returns: A Nvel", "Silvan Caligvik"),
+          ("P5", "The Salt Atlas: Box Set", "Silvan Caligvik"), ("P6", "The Salt Atlas: A Nvel", "Ivo Stein"), ("P7", "The Salt Atlas: Tarngate Journal 2019", None)]
+    p = spark.createDataFrame([(*x, None, None) for x in az], "parent_asin string, title string, author string, isbn10 string, isbn13 string")
+    assert {r.parent_asin: r.work_id for r in linkage.match(p, w, e, a).collect()} == {"P1": 1, "P2": 1, "P3": 3, "P4": 2}
+    assert linkage.title_head("A: B") == "" and linkage.title_head(None) == "" and linkage.author_form("HENRIKHAVOK") == ("henrikhavok", "")
+
+
 def test_exclusivity_projection_and_prox():
     import numpy as np
 
