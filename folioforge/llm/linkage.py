@@ -127,9 +127,9 @@ def title_head(title: str | None) -> str:
 
 
 def author_form(author: str | None) -> tuple[str, str]:
-    """(family, given) of the first author named; empty for none. A name without any blank is parted where a capital
+    """(family, given) of the first author named; empty for none. A name without blank or comma is parted where a capital
     follows a small letter."""
-    if author and not any(map(str.isspace, author.strip())):
+    if author and "," not in author and not any(map(str.isspace, author.strip())):
         author = _JOINED.sub(" ", author)
     a = plain(author)
     a = re.sub(r"\((?:author|editor|writer)\)", "", a)
