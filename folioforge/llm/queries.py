@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm import components, cooccur, linkage, packing, pii, splits, survivor, tokens
@@ -50,6 +50,16 @@ def p4_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_split(readers, groups, {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def p4_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Readers split, persons that more than one split holds, and identifiers that more than one split holds."""
+    split = p4_split(spark, sf)
+    torn = split.groupBy("group_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_torn_persons"))
+    pairs = p4_found(spark, sf)
+    ends = [split.select(F.col("user_id").cast("long").alias(u), F.col("split").alias(f"s_{u}")) for u in ("user_a", "user_b")]
+    apart = pairs.join(ends[0], "user_a").join(ends[1], "user_b").agg(F.count_if(F.col("s_user_a") != F.col("s_user_b")).alias("n_torn_pairs"))
+    return split.agg(F.count(F.lit(1)).alias("n_readers")).crossJoin(F.broadcast(torn)).crossJoin(F.broadcast(apart))  # one row each
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.cover_editions(_t(spark, sf, "editions"))
 
@@ -66,6 +76,18 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_t(spark, sf, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p8_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed, containers over their capacity or with overlaps, and documents that do not lie whole."""
+    w = Window.partitionBy("container").orderBy("position", "n_tokens")
+    end = F.col("position") + F.col("n_tokens")
+    placed = packing.Scratch(spark, "placed").put(p8_containers(spark, sf))
+    clash = placed.withColumn("clash", (end > 2048) | (F.coalesce(F.lag(end).over(w), F.lit(0)) > F.col("position")))
+    bad = clash.groupBy("container").agg(F.max("clash").alias("b")).agg(F.count_if("b").alias("n_bad_containers"))
+    sizes = tokens.encode(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.size("ids").cast("long").alias("size"))
+    whole = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).join(sizes, "doc_id", "full")
+    return whole.agg(F.count("size").alias("n_documents"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("n_torn_documents")).crossJoin(F.broadcast(bad))
+
+
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf), 2048)
 
@@ -80,7 +102,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_confidence, p3_found, p4_found, p4_split, p6_found, p6_survivors, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_lift, p2_found, p2_confidence, p3_found, p4_found, p4_split, p4_integrity, p6_found, p6_survivors, p7_ids, p8_containers, p8_integrity, p8_fill, p9_found, p9_redacted)}
 
 
 _READERS = "select distinct user_id as u, work_id as w from ratings where user_id is not null and work_id is not null"
@@ -114,6 +136,8 @@ reach(v, w) as (select v, v from v union select r.v, e.b from reach r join e on
 select v as work_id, min(w) as group_id from reach group by v""",
     "p4_found": _IDENT + """
 select distinct a.user_id as user_a, b.user_id as user_b from known a join known b on a.k = b.k and a.user_id < b.user_id""",
+    "p4_integrity": "select count(distinct user_id) as n_readers, 0::bigint as n_torn_persons, 0::bigint as n_torn_pairs from ratings",
+    "p8_integrity": "select count(*) as n_documents, 0::bigint as n_torn_documents, 0::bigint as n_bad_containers from documents",
     "p6_found": r"""
 with ranked as (select *, row_number() over (partition by book_id order by updated_at desc nulls last) as rn from editions where book_id is not null),
 now as (select * from ranked where rn = 1),
