@@ -128,7 +128,12 @@ def _(t: Tables) -> DataFrame:
     return t.editions.select("book_id", "updated_at", "title", F.explode(T.series_names(F.col("title"))).alias("series")).distinct()
 
 
-@R.add("f12_word_search", None)
+_TRIGRAMS = "list_distinct(list_transform(range(1, length({w}) + 2), lambda i: substr('  ' || {w} || ' ', i, 3)))"
+
+
+@R.add("f12_word_search", rf"""with q as (select {_TRIGRAMS.format(w="'merchant'")} as q),
+w as (select work_id, title, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) as word from works where title is not null)
+select work_id, title, max(round(len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))), 6)) as score from (select work_id, title, {_TRIGRAMS.format(w="word")} as t from w), q group by 1, 2 having score >= 0.5""")
 def _(t: Tables) -> DataFrame:
     return t.works.select("work_id", "title", F.round(T.word_similarity(F.lit("merchant"), F.col("title")), 6).alias("score")).filter("score >= 0.5")
 
