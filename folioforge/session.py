@@ -72,16 +72,27 @@ class Scratch:
         if path:
             self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def rows(self, df: DataFrame) -> int:
+        """Rows of a scratch table, from its files' footers; asked once."""
+        known = getattr(df, "_scratch_rows", None)
+        if known is None:
+            known = df._scratch_rows = self.spark.read.parquet(df._scratch_path).count()
+        return known
+
     def bytes(self, df: DataFrame) -> int:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         return self._fs.getContentSummary(path).getLength()
 
 
-#: Written size (compressed) up to which a table is sent to every executor.
+#: Written size (compressed) and size in memory (rows times a fixed width for each column) up to which a table is sent to
+#: every executor. Both must hold: sorted numbers compress many times, long texts are wider than the fixed width.
 BROADCAST_BYTES = 8 << 20
+BROADCAST_MEMORY = 64 << 20
 
 
 def small_or_plain(scratch: Scratch, df: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if the scratch table it comes from (``of``, itself by default) was written in
-    fewer than ``limit`` bytes; beyond it the planner shuffles both sides of the join as usual."""
-    return F.broadcast(df) if scratch.bytes(df if of is None else of) <= limit else df
+    fewer than ``limit`` bytes and is small in memory; beyond, the planner shuffles both sides of the join as usual."""
+    table = df if of is None else of
+    small = scratch.bytes(table) <= limit and scratch.rows(table) * 16 * (1 + len(table.columns)) <= BROADCAST_MEMORY
+    return F.broadcast(df) if small else df
