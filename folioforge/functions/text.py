@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,12 +92,20 @@ def without_marks(text: Column) -> Column:
 OTHER_PIECES = "stories tales poems writings works plays essays".split()
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value formed once a row: each mention of a column repeats its whole expression, in the
+    plan as well as in the work."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def name_words(title: Column) -> Column:
     """Distinct meaningful words of a title without accents, sorted. ``and other stories`` (one word may stand between
     ``and`` and ``other``) says nothing of the book and goes."""
     spaced = F.replace(without_marks(F.lower(without_tail_paren(title))), F.lit("&"), F.lit(" & "))
-    words = F.filter(F.split(spaced, r"[^\p{L}\p{N}&]+"), lambda w: w != "")
+    return _bound(F.filter(F.split(spaced, r"[^\p{L}\p{N}&]+"), lambda w: w != ""), _kept_words)
 
+
+def _kept_words(words: Column) -> Column:
     def at(i: Column) -> Column:
         return F.coalesce(F.get(words, i), F.lit(""))
 
@@ -160,14 +168,16 @@ def is_later_volume(title: Column) -> Column:
     last = F.when(closed, F.split(F.substring_index(tail, ")", 1), "#"))
     numbers = F.transform(F.slice(last, 2, 1000), lambda p: F.regexp_extract(p, r"^\s*(\d+(?:\.\d+)?)", 1).try_cast("double"))
     numbers = F.filter(numbers, lambda n: n.isNotNull())
-    by_sign = F.coalesce((F.size(numbers) > 0) & (F.array_min(numbers) >= 2), F.lit(False))
-    words = F.split(F.lower(t), r"[^\p{L}\p{N}]+")
+    by_sign = _bound(numbers, lambda n: F.coalesce((F.size(n) > 0) & (F.array_min(n) >= 2), F.lit(False)))
+
+    def numbered(words: Column) -> Column:
+        def number_at(w: Column, i: Column) -> Column:
+            joined = F.regexp_extract(w, rf"^(?:{'|'.join(VOLUME_WORDS)})(\d+)$", 1)
+            return F.when((i > 0) & w.isin(VOLUME_WORDS), F.get(words, i + 1)).when((i > 0) & (joined != ""), joined)
 
-    def number_at(w: Column, i: Column) -> Column:
-        joined = F.regexp_extract(w, rf"^(?:{'|'.join(VOLUME_WORDS)})(\d+)$", 1)
-        return F.when((i > 0) & w.isin(VOLUME_WORDS), F.get(words, i + 1)).when((i > 0) & (joined != ""), joined)
+        return F.transform(words, number_at)
 
-    later = F.exists(F.transform(words, number_at), lambda n: F.coalesce(F.when(n.rlike(r"^\d+$"), n.try_cast("double") >= 2).otherwise(n.isin(LATER_NUMBERS)), F.lit(False)))
+    later = F.exists(_bound(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), numbered), lambda n: F.coalesce(F.when(n.rlike(r"^\d+$"), n.try_cast("double") >= 2).otherwise(n.isin(LATER_NUMBERS)), F.lit(False)))
     return by_sign | later
 
 

@@ -401,6 +401,14 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select * from h").collect())) == sorted(map(tuple, events.hourly_counts(df).collect()))
 
 
+def test_title_words_are_formed_once(spark):
+    titles = spark.createDataFrame([("Dune and Other Stories",), ("Café & two other tales (X)",), ("Saga Vol. 2",), ("",), (None,)], "t string")
+    df = titles.select(T.name_words(F.col("t")).alias("w"), T.is_later_volume(F.col("t")).alias("l"))
+    assert [tuple(r) for r in df.collect()] == [(["dune"], False), (["cafe"], False), (["2", "saga", "vol"], True), ([], False), (None, False)]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") == 1 and plan.count("split(lower(") <= 1
+
+
 def test_validation_report(spark):
     rep = P.violations({"a": spark.sql("select 0 as n"), "b": spark.sql("select 2 as n")})
     with pytest.raises(AssertionError, match="b"):
