@@ -61,9 +61,22 @@ def noise_at(curve: Sequence[tuple[float, float]], hits: float) -> float | None:
     return points[0][1] if points and points[0][0] == hits else None
 
 
-def left_out_scores(inputs: DataFrame, links: DataFrame) -> DataFrame:
-    """(user_id, work_id, score): for each work of a reader's inputs (user_id, work_id, x) what the others say of it by
-    ``links`` (src, dst, w). Links have no diagonal, so leaving a work out changes no other term."""
-    said = inputs.select("user_id", F.col("work_id").alias("src"), "x").join(links, "src")
-    own = said.join(inputs.select("user_id", F.col("work_id").alias("dst")), ["user_id", "dst"])
+def left_out_scores(inputs: DataFrame, links: DataFrame, pair_works: int = 2048) -> DataFrame:
+    """(user_id, work_id, score): for each work of a reader's inputs (user_id, work_id, x), unique, what the others say of
+    it by ``links`` (src, dst, w). Links have no diagonal, so leaving a work out changes no other term.
+
+    Most readers have few works, and a work that nearly everyone read has links to nearly all: a reader's own pairs are
+    formed and looked up among the links. Readers of more than ``pair_works`` works meet the links of each of their works
+    instead, so that neither side is squared.
+    """
+    sized = inputs.join(inputs.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")), "user_id")
+    few, many = sized.filter(F.col("_n") <= pair_works), sized.filter(F.col("_n") > pair_works)
+
+    def works(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("user_id", F.col("work_id").alias(name), *more)
+
+    pairs = works(few, "src", "x").join(works(few, "dst"), "user_id").filter("src <> dst").join(links, ["src", "dst"])
+    said = works(many, "src", "x").join(links, "src").join(works(many, "dst"), ["user_id", "dst"])
+    cols = ["user_id", "dst", "x", "w"]
+    own = pairs.select(*cols).unionByName(said.select(*cols))
     return own.groupBy("user_id", F.col("dst").alias("work_id")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))

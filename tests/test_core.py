@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import numeric as N
 from folioforge.functions import text as T
 from folioforge.models import chance, explain, factors, links
-from folioforge.operators import clean, link, listing, rank, series, skew, split
+from folioforge.operators import clean, judge, link, listing, rank, series, skew, split
 from folioforge.operators import profile as P
 from folioforge.session import Scratch
 from folioforge.sources import readers, writers
@@ -409,6 +410,16 @@ def test_title_words_are_formed_once(spark):
     assert plan.count("translate(") == 1 and plan.count("split(lower(") <= 1
 
 
+def test_left_out_scores_do_not_open_a_works_links(spark):
+    inputs = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (1, 3, 4.0), (2, 1, 1.0), (3, 1, 5.0), (3, 9, 1.0)], "user_id int, work_id long, x double")
+    links = spark.createDataFrame([(a, b, float(a + b)) for a in (1, 2, 3) for b in range(1, 400) if a != b], "src long, dst long, w double")
+    want = {(1, 1): 3.0 * 3 + 4.0 * 4, (1, 2): 2.0 * 3 + 4.0 * 5, (1, 3): 2.0 * 4 + 3.0 * 5, (3, 9): 5.0 * 10}
+    for pair_works in (0, 2, 2048):
+        assert {(r.user_id, r.work_id): r.score for r in judge.left_out_scores(inputs, links, pair_works).collect()} == want
+    plan = judge.left_out_scores(inputs, links)._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    assert re.search(r"\(src#\d+L=src#\d+L\)AND\(dst#\d+L=dst#\d+L\)", plan)  # works meet links as pairs
+
+
 def test_validation_report(spark):
     rep = P.violations({"a": spark.sql("select 0 as n"), "b": spark.sql("select 2 as n")})
     with pytest.raises(AssertionError, match="b"):
