@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import numeric as N
 from folioforge.functions import text as T
-from folioforge.models import chance, explain, factors, links
+from folioforge.models import blocks, chance, explain, factors, links
 from folioforge.operators import clean, judge, link, listing, rank, series, skew, split
 from folioforge.operators import profile as P
-from folioforge.session import Scratch
+from folioforge.session import Scratch, small_or_plain
 from folioforge.sources import readers, writers
 from folioforge.streaming import events
 
@@ -420,6 +420,21 @@ def test_left_out_scores_do_not_open_a_works_links(spark):
     assert re.search(r"\(src#\d+L=src#\d+L\)AND\(dst#\d+L=dst#\d+L\)", plan)  # works meet links as pairs
 
 
+def test_block_tables_are_read_a_few_blocks_at_once(spark):
+    import pyarrow.parquet as pq
+
+    scratch = Scratch(spark, "blocks")
+    cells = spark.range(40).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(2.0).alias("v"))
+    table = blocks.from_cells(cells, 40, scratch, True, 2)  # 210 blocks, mostly zeros
+    for t in (table, blocks.put_blocks(scratch, table)):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in t.inputFiles()]
+        groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+        assert sum(groups) == t.count() and max(groups) <= blocks.BATCH_ROWS
+    wide = scratch.put(spark.range(60).select("id", F.lit(b"x").alias("data")))
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small_or_plain(scratch, wide)) and not hinted(small_or_plain(scratch, wide, row_bytes=2 << 20))
+
+
 def test_validation_report(spark):
     rep = P.violations({"a": spark.sql("select 0 as n"), "b": spark.sql("select 2 as n")})
     with pytest.raises(AssertionError, match="b"):
