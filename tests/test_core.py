@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import numeric as N
 from folioforge.functions import text as T
-from folioforge.models import blocks, chance, explain, factors, links
-from folioforge.operators import clean, judge, link, listing, rank, series, skew, split
+from folioforge.models import blocks, chance, explain, factors, knn, links
+from folioforge.operators import clean, judge, link, listing, rank, series, skew, split, spread
 from folioforge.operators import profile as P
 from folioforge.session import Scratch, small_or_plain
 from folioforge.sources import readers, writers
@@ -289,6 +289,23 @@ def test_ridge_step_matches_numpy(spark):
         assert np.allclose(got[k], np.linalg.solve(z.T @ z + 0.1 * len(z) * np.eye(2), z.T @ b))
 
 
+def test_knn_lists_send_few_rows_for_a_hot_work(spark, monkeypatch):
+    # Work 0 is a neighbour of all others; every reader has it.
+    n, k = 400, 5
+    nbrs = spark.createDataFrame([(w, 0, ((w * 37) % 101 - 50) / 1000 or 0.001, 1) for w in range(1, n)] + [(w, 1 + w % 7, 0.01 * (w % 5 + 1), 2) for w in range(8, n)], "work_id long, other_id long, sim double, place long")
+    inp = ratings(spark, [(u, w, float(1 + (u * w + u) % 5)) for u in range(30) for w in {0, 1 + u % 7, 20 + u}])
+    popular = spark.createDataFrame([(w, 1 + w % 3) for w in range(n)], "work_id long, n long")
+    want = rank.top_k(knn.score(inp, nbrs, popular), k, inp).select("user_id", "work_id", "score", "rank")
+    for stripe in (spread.STRIPE_LINKS, 100):
+        monkeypatch.setattr(spread, "STRIPE_LINKS", stripe)
+        got = knn.top_lists(inp, nbrs, popular, k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 30 * k
+    monkeypatch.setattr(spread, "STRIPE_LINKS", 1000)
+    near = nbrs.select(F.col("other_id").alias("src"), F.col("work_id").alias("dst"), F.col("sim").alias("w"), (F.col("work_id") * 1e-6).alias("bonus"))
+    x = inp.select("user_id", F.col("work_id").alias("src"), (F.col("rating") - 2.5).alias("x"))
+    assert spread.best_terms(x, near, k, 1e-9, Scratch(spark, "t")).count() == 30 * k
+
+
 def test_parts_add_up_and_reasons(spark):
     inp = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, -1.0)], "user_id int, work_id long, x double")
     fitted = spark.createDataFrame([(1, 9, 0.5), (2, 9, 0.1), (3, 9, 0.9)], "src long, dst long, w double")
