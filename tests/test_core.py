@@ -289,6 +289,24 @@ def test_ridge_step_matches_numpy(spark):
         assert np.allclose(got[k], np.linalg.solve(z.T @ z + 0.1 * len(z) * np.eye(2), z.T @ b))
 
 
+def test_taste_units_give_the_joined_fit_and_send_no_factors_by_rating(spark, monkeypatch):
+    import numpy as np
+
+    # Work 0 is rated by all and is cut; every fifth reader has more ratings than factors.
+    r = ratings(spark, [(u, w, float(1 + (u * 7 + w * w) % 5)) for u in range(60) for w in range(13) if w == 0 or (u + w) % 4 == 0 or u % 5 == 0])
+    sent = []
+    step = factors._taste_side
+    monkeypatch.setattr(factors, "_taste_side", lambda *a: sent.append(1) or step(*a))
+    monkeypatch.setattr(factors, "UNIT_RATINGS", 40)
+    mu, got = factors.fit_taste(r, 3, 0.05, 3)
+    assert not sent
+    monkeypatch.setattr(factors, "HELD_BYTES", 0)
+    mu_joined, want = factors.fit_taste(r, 3, 0.05, 3)
+    assert len(sent) == 6 and mu == mu_joined
+    got, want = ({x.id: x.theta for x in df.collect()} for df in (got, want))
+    assert set(got) == set(want) == set(range(13)) and all(np.allclose(got[k], want[k]) for k in got)
+
+
 def test_knn_lists_send_few_rows_for_a_hot_work(spark, monkeypatch):
     # Work 0 is a neighbour of all others; every reader has it.
     n, k = 400, 5
