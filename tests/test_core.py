@@ -324,6 +324,16 @@ def test_knn_lists_send_few_rows_for_a_hot_work(spark, monkeypatch):
     assert spread.best_terms(x, near, k, 1e-9, Scratch(spark, "t")).count() == 30 * k
 
 
+def test_link_scores_form_no_row_for_a_product(spark):
+    # Forty works of a reader have the same 500 targets: 20 000 products, 500 rows.
+    both = spark.range(40).select(F.col("id").alias("src")).crossJoin(spark.range(1000, 1500).select(F.col("id").alias("dst"))).withColumn("w", F.col("src") + F.col("dst"))
+    inp = spark.range(40).select(F.lit(7).alias("user_id"), F.col("id").alias("work_id"), (F.col("id") % 5 - 2.0).cast("double").alias("x"))
+    s = links.score(inp, both)
+    want = {d: sum((i % 5 - 2.0) * (i + d) for i in range(40)) for d in range(1000, 1500)}
+    assert {r.work_id: r.score for r in s.collect()} == want and dict(s.dtypes)["user_id"] == "int"
+    assert "Join" not in s._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts_add_up_and_reasons(spark):
     inp = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, -1.0)], "user_id int, work_id long, x double")
     fitted = spark.createDataFrame([(1, 9, 0.5), (2, 9, 0.1), (3, 9, 0.9)], "src long, dst long, w double")
