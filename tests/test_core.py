@@ -455,6 +455,53 @@ def test_title_words_are_formed_once(spark):
     assert plan.count("translate(") == 1 and plan.count("split(lower(") <= 1
 
 
+def _rated_already_tables(spark, folder):
+    """Sixty readers of forty works by forty authors; each work has a twin of the same title and author that is read by
+    few, so the twin of a work read is among the unread ones."""
+    works = [(w, 1000 + w, f"Tale {chr(97 + w // 2 % 26)}{chr(97 + w // 52)}", None, None, 2000, "eng", "book", 1, 100 - w, False) for w in range(80)]
+    editions = [(1000 + w, w, f"Tale {chr(97 + w // 2 % 26)}{chr(97 + w // 52)} (First, #1)", works[w][2], [500 + w // 2], "eng", 2000, 10, None) for w in range(80)]
+    read = [(u, w, 1.0 + (u * 7 + w * 3) % 5, 1, None, None) for u in range(60) for w in range(80) if (w % 2 == 0 and (u + w) % 3) or (w % 2 == 1 and (u + w // 2) % 2)]
+    tables = {
+        "works": (works, "work_id long, best_book_id long, title string, original_title string, best_edition_title string, publication_year int, language_code string, media_type string, books_count int, gr_ratings_count long, is_collection boolean"),
+        "editions": (editions, "book_id long, work_id long, title string, title_without_series string, author_ids array<long>, language_code string, publication_year int, ratings_count long, updated_at timestamp_ntz"),
+        "authors": ([(500 + a, f"A {a}") for a in range(40)], "author_id long, name string"),
+        "ratings": (read, RATINGS),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return tables
+
+
+def test_rated_already_writes_no_large_plan(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from folioforge.plans import registry
+
+    tables = _rated_already_tables(spark, tmp_path)
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, **o: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(self, df, **o))[1])
+    out = registry.queries()["x20_rated_already"](spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    got = sorted(map(tuple, out.collect()))
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got and got == sorted(con.execute(registry.oracle_sql()["x20_rated_already"]).fetchall())
+    # What the driver holds of one step: joins, and mentions of the tables that take marks off letters.
+    assert max(p.count("Join ") for p in plans) <= 4 and max(p.count("translate(") for p in plans) <= 1
+
+
+def test_kcore_counts_fallen_keys_while_they_are_written(spark, monkeypatch):
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, **o: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(self, df, **o))[1])
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: pytest.fail("a job of its own counts rows"))
+    chain = [(u, w, 3.0) for u in range(1, 9) for w in (u, u + 1)]
+    square = [(u, w, 3.0) for u in (20, 21) for w in (30, 31)]
+    core, passes = clean.kcore(ratings(spark, chain + square), 2, 2)
+    assert {(r.user_id, r.work_id) for r in core.collect()} == {(u, w) for u, w, _ in square} and passes > 5
+    assert len(plans) > 6 and all(p.count("Join ") <= 1 for p in plans[4:])  # of a pass: the pairs of the fallen only
+
+
 def test_left_out_scores_do_not_open_a_works_links(spark):
     inputs = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (1, 3, 4.0), (2, 1, 1.0), (3, 1, 5.0), (3, 9, 1.0)], "user_id int, work_id long, x double")
     links = spark.createDataFrame([(a, b, float(a + b)) for a in (1, 2, 3) for b in range(1, 400) if a != b], "src long, dst long, w double")
