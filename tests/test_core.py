@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from folioforge.functions import text as T
 from folioforge.models import blocks, chance, explain, factors, knn, links
 from folioforge.operators import clean, judge, link, listing, rank, series, skew, split, spread
 from folioforge.operators import profile as P
-from folioforge.session import Scratch, small_or_plain
+from folioforge.session import SHUFFLE_CLEANUP, Scratch, small_or_plain
 from folioforge.sources import readers, writers
 from folioforge.streaming import events
 
@@ -334,6 +335,29 @@ def test_link_scores_form_no_row_for_a_product(spark):
     assert "Join" not in s._jdf.queryExecution().executedPlan().toString()
 
 
+def test_link_scores_stay_in_several_tasks(spark):
+    links_ = spark.range(40).select(F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    inputs = spark.range(100).select(F.col("id").cast("int").alias("user_id"), F.lit(1).cast("long").alias("src"), F.lit(1.0).alias("x"))
+    found = spread.sums(inputs, links_, Scratch(spark, "t"))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and found.count() == 4000
+
+
+def test_mirrored_links_are_formed_once(spark, monkeypatch):
+    from folioforge.plans import registry
+
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, **o: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(self, df, **o))[1])
+    half = spark.createDataFrame([(a, b, float(a * b)) for a in range(1, 9) for b in range(a + 1, 9)], "src long, dst long, w double")
+    inputs = spark.createDataFrame([(1, 2, 1.0), (1, 7, -2.0), (2, 4, 0.5)], "user_id int, src long, x double")
+    want = {(u, b): sum(x * a * b for v, a, x in ((1, 2, 1.0), (1, 7, -2.0), (2, 4, 0.5)) if v == u and a != b) for u in (1, 2) for b in range(1, 9) if (u, b) != (2, 4)}
+    for stripe in (spread.STRIPE_LINKS, 10):
+        monkeypatch.setattr(spread, "STRIPE_LINKS", stripe)
+        assert {(r.user_id, r.work_id): r.score for r in spread.sums(inputs, half, Scratch(spark, "t"), mirrored=True).collect()} == pytest.approx(want)
+    plans.clear()
+    registry.queries()["j23_link_scores"](spark, "/root/testdata/sf0.001")
+    assert sum(p.count("MapInArrow") for p in plans) == 2  # products are formed and added up once
+
+
 def test_parts_add_up_and_reasons(spark):
     inp = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, -1.0)], "user_id int, work_id long, x double")
     fitted = spark.createDataFrame([(1, 9, 0.5), (2, 9, 0.1), (3, 9, 0.9)], "src long, dst long, w double")
@@ -540,6 +564,17 @@ def test_scratch_cuts_lineage(spark):
     s.drop(df)
 
 
+def test_scratch_leaves_no_shuffle_files(spark):
+    files = lambda: len([f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f])
+    before = files()
+    df = Scratch(spark, "t").put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as entry
 
