@@ -395,6 +395,17 @@ def test_same_works(spark):
     assert {tuple(r) for r in same.collect() if r[0] < r[1]} == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)}
 
 
+def test_same_works_sends_a_row_for_each_author_and_word_once(spark, monkeypatch):
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, **o: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), put(self, df, **o))[1])
+    fox = ["fox", "red"]
+    rows = [(1, 5, [5, 6], "red fox", "", False, False, [fox, fox, fox]), (2, 6, [6], "fox", "", False, False, [["fox"]]), (3, 7, [7, 6, 8], "red fox", "", False, False, [fox]), (4, 9, [9, 8], "red fox", "", False, False, [fox])]
+    same = listing.same_works(spark.createDataFrame(rows, BOOK), Scratch(spark, "t"))
+    # By 6, main author of 2 alone: 1 and 3 share 6, 3 and 4 share 8, but neither as main author of one.
+    assert {tuple(r) for r in same.collect() if r[0] < r[1]} == {(1, 2), (2, 3)}
+    assert "array_distinct(filter(" in plans[0] and plans[-1].count("Join ") == 1 and not re.search(r"struct<work_id", plans[-1])
+
+
 def test_list_rules_and_the_pool(spark):
     rows = [(1, 5, False, False), (2, 5, False, False), (3, 6, True, False), (4, 7, False, True), (5, 5, False, False), (6, 8, False, False), *((i, None, None, None) for i in range(7, 40))]
     books = spark.createDataFrame(rows, "work_id long, author_id long, collection boolean, later boolean")
